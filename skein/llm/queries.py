@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import packing, splitting, tokens
+from skein.llm import docs, packing, quality, splitting, tokens
 from skein.sources.tables import table
 
 
+def p4_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return docs.pairs(table(spark, sf, "nodes"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p4_pairs(spark, sf).filter("id = source_id").select("id")
+
+
 def p7_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split_nodes(table(spark, sf, "nodes"))
 
@@ -32,7 +40,17 @@ def p9_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill_report(p9_containers(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_pieces, p8_ids, p8_round_trip, p9_containers, p9_fill)}
+def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.judge(table(spark, sf, "documents"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p10_statistics(spark, sf).filter("junk").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (
+    p4_found, p4_pairs, p7_found, p7_pieces, p8_ids, p8_round_trip, p9_containers, p9_fill, p10_found, p10_statistics,
+)}
 
 SQL = {
     "p7_found": """SELECT id FROM (
