@@ -64,15 +64,15 @@ def harmonic(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return box
 
 
-def pack(counts: DataFrame, key: str = "doc_id", size: str = "tokens", capacity: int = CAPACITY) -> DataFrame:
+def pack(counts: DataFrame, rows: int, key: str = "doc_id", size: str = "tokens", capacity: int = CAPACITY) -> DataFrame:
     """``container_id, key, part, start, tokens``: each item of positive size in one container, or, where
     it exceeds the capacity, in parts from ``start`` on that fill containers and a last part.
 
     Items of size 0 or null go nowhere. A null key and repeated keys are items like any others.
-    The same rows give the same containers. Empty input gives no rows.
+    ``rows`` is the number of items, from which the number of groups follows. The same rows give the same containers. Empty input gives no rows.
     """
     items = counts.select(key, F.col(size).cast("long").alias("n")).filter("n > 0")
-    groups = max(1, -(-counts.count() // GROUP))
+    groups = max(1, -(-rows // GROUP))
     kind = items.schema[key].dataType.simpleString()
     out = f"container_id long, {key} {kind}, part int, start long, tokens long"
 

@@ -33,7 +33,8 @@ def p8_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.pack(tokens.token_counts(table(spark, sf, "documents")))
+    docs_ = table(spark, sf, "documents")
+    return packing.pack(tokens.token_counts(docs_), docs_.count())
 
 
 def p9_fill(spark: SparkSession, sf: str) -> DataFrame:
