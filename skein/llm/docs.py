@@ -322,7 +322,7 @@ def parsed(nodes: DataFrame) -> DataFrame:
         "symbol_name", "source_start_byte", "source_end_byte", "raw_text",
     )
     cols = [x.split()[0] for x in _PARSED.split(", ")][2:]
-    return newest(src.mapInArrow(_parse, _PARSED), "id", "ingested_at", cols)
+    return newest(src.mapInArrow(_parse, _PARSED.replace("timestamp", src.schema["ingested_at"].dataType.simpleString())), "id", "ingested_at", cols)
 
 
 def pairs(nodes: DataFrame, rounds: int = 8) -> DataFrame:

@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import docs, packing, quality, splitting, tokens
+from skein.llm import docs, packing, quality, spans, splitting, tokens
 from skein.sources.tables import table
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.node_pairs(*spans.shared_spans(table(spark, sf, "nodes")))
+
+
+def p1_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.coverage(*spans.shared_spans(table(spark, sf, "nodes")))
+
+
 def p4_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return docs.pairs(table(spark, sf, "nodes"))
 
@@ -50,7 +58,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p4_found, p4_pairs, p7_found, p7_pieces, p8_ids, p8_round_trip, p9_containers, p9_fill, p10_found, p10_statistics,
+    p1_found, p1_coverage, p4_found, p4_pairs, p7_found, p7_pieces, p8_ids, p8_round_trip, p9_containers, p9_fill, p10_found, p10_statistics,
 )}
 
 SQL = {
