@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import docs, packing, quality, spans, splitting, tokens
+from skein.llm import docs, packing, quality, sources, spans, splitting, tokens
 from skein.sources.tables import table
 
 
@@ -16,6 +16,14 @@ def p1_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return spans.coverage(*spans.shared_spans(table(spark, sf, "nodes")))
 
 
+def p3_files(spark: SparkSession, sf: str) -> DataFrame:
+    return sources.classify(table(spark, sf, "nodes")).withColumnRenamed("path", "file_path")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p3_files(spark, sf).filter("NOT by_hand").select("repo_id", "file_path")
+
+
 def p4_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return docs.pairs(table(spark, sf, "nodes"))
 
@@ -58,7 +66,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_coverage, p4_found, p4_pairs, p7_found, p7_pieces, p8_ids, p8_round_trip, p9_containers, p9_fill, p10_found, p10_statistics,
+    p1_found, p1_coverage, p3_found, p3_files, p4_found, p4_pairs, p7_found, p7_pieces, p8_ids, p8_round_trip, p9_containers, p9_fill, p10_found, p10_statistics,
 )}
 
 SQL = {
