@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.sources.tables import checkpoint, drop_shared, newest, shared_dir
+from skein.sources.tables import checkpoint, drop_shared, newest, read_shared, shared_dir, write_shared
 
 MIN_LENGTH = 300
 #: Batches of a whole table; runs that are compacted into one; different surroundings of a window that are compared pairwise.
 BATCHES, FAN_IN, PAIRWISE = 4, 3, 64
 #: Texts that one bucket holds on average, and the most buckets.
-PER_BUCKET, MOST_BUCKETS = 40_000, 20_000
+PER_BUCKET, MOST_BUCKETS = 20_000, 20_000
 
 _BASE = 6364136223846793005
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -94,9 +94,10 @@ class SpanIndex:
         self.places: dict[str, str] = {}
 
     def save(self, df: DataFrame, key: str, parts: list[str] | None = None) -> str:
+        """Write df, which is partitioned by the key into as many parts as there are buckets."""
         name = f"skein_{uuid.uuid4().hex}"
         path = f"{shared_dir(self.spark)}/{name}"
-        out = df.repartition(self.buckets, key).write.bucketBy(self.buckets, key).sortBy(key).option("path", path)
+        out = df.write.bucketBy(self.buckets, key).sortBy(key).option("path", path)
         (out.partitionBy(*parts) if parts else out).saveAsTable(name)
         self.places[name] = path
         return name
@@ -116,41 +117,29 @@ class SpanIndex:
             every = self.spark.table(old[0])
             for r in old[1:]:
                 every = every.union(self.spark.table(r))
-            self.runs = [self.save(every, "h")]
+            self.runs = [self.save(every.repartition(self.buckets, "h"), "h")]
             for r in old:
                 self.drop(r)
 
     def add(self, texts: DataFrame) -> DataFrame:
-        """Index a batch ``t, text, lo, hi`` and return the occurrences ``h, t, pos, lo, hi`` of the windows that the batch
-        shares with other repositories, in it or in the history."""
+        """Index a batch ``t, hs, ps, lo, hi`` (hs and ps: the fingerprints of a text and their places) and return the
+        occurrences ``h, t, pos, lo, hi`` of the windows that the batch shares with other repositories, in it or in the history.
+
+        Runs are met bucket by bucket; neither they nor the batch are moved once written.
+        """
         if len(self.runs) >= FAN_IN:
             self.compact()
-        length = self.length
-
-        def run(batches):
-            for b in batches:
-                hs, ps, n = [], [], []
-                for t in b.column("text"):
-                    h, p = fingerprints(t.as_py(), length)
-                    hs.append(h)
-                    ps.append(p)
-                    n.append(len(h))
-                if not n:
-                    continue
-                row = pa.array(np.repeat(np.arange(len(n)), n))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(hs)), b.column("t").take(row), pa.array(np.concatenate(ps)), b.column("lo").take(row), b.column("hi").take(row)],
-                    names=["h", "t", "pos", "lo", "hi"],
-                )
-
-        fresh = self.save(texts.mapInArrow(run, "h long, t long, pos int, lo int, hi int"), "h")
+        rows = texts.select("t", F.explode(F.arrays_zip("hs", "ps")).alias("f"), "lo", "hi")
+        rows = rows.select(F.col("f.hs").alias("h"), "t", F.col("f.ps").alias("pos"), "lo", "hi")
+        fresh = self.save(rows.repartition(self.buckets, "h"), "h")
+        met = self.spark.table(fresh).groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        for i, r in enumerate(self.runs):
+            old = self.spark.table(r).groupBy("h").agg(F.min("lo").alias(f"lo{i}"), F.max("hi").alias(f"hi{i}"))
+            met = met.join(old.hint("merge"), "h", "left")
+        several = range(len(self.runs))
+        low, high = F.least("lo", *[f"lo{i}" for i in several]) if self.runs else F.col("lo"), F.greatest("hi", *[f"hi{i}" for i in several]) if self.runs else F.col("hi")
         self.runs.append(fresh)
-        span = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
-        batch = self.spark.table(fresh).groupBy("h").agg(*span)
-        met = batch
-        for r in self.runs[:-1]:
-            met = met.union(self.spark.table(r).join(batch.select("h").hint("merge"), "h", "left_semi").groupBy("h").agg(*span))
-        hot = checkpoint(met.groupBy("h").agg(*span).filter("lo < hi").select("h"))
+        hot = checkpoint(met.filter(low < high).select("h"))
         found = None
         for r in self.runs:
             o = self.spark.table(r).join(hot, "h", "left_semi")
@@ -234,33 +223,60 @@ def _digests(length: int):
 
 
 class Verified:
-    """Surroundings ``c, m, pos`` of the texts, and verified links between surroundings: pairs ``a, b, left, right`` and
-    groups ``c, d, off`` of equal spans d."""
+    """Surroundings ``c, m, pos, lo, hi`` of the texts, and verified links between surroundings: pairs ``a, b, left, right``
+    and groups ``c, d, off`` of equal spans d."""
 
     def __init__(self, around: DataFrame, length: int):
         spark = around.sparkSession
-        around = checkpoint(around.withColumn("c", F.md5(F.concat_ws("\u0000", F.col("h").cast("string"), F.col("left").cast("string"), "ctx"))))
-        kinds = checkpoint(around.groupBy("h", "c", "left").agg(F.first("ctx").alias("ctx"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
-        many = kinds.groupBy("h").agg(F.count("*").alias("n"))
-        few, dense = kinds.join(many.filter(F.col("n") <= PAIRWISE), "h", "left_semi"), kinds.join(many.filter(F.col("n") > PAIRWISE), "h", "left_semi")
-        self.members = around.select("c", "m", "pos", "lo", "hi")
-        self.pairs = checkpoint(few.select("h", "c", "left", "ctx", "lo", "hi").groupBy("h").applyInArrow(_compare(length), _LINKS))
-        self.groups = checkpoint(dense.select("c", "left", "ctx").mapInArrow(_digests(length), "c string, d binary, off int"))
+        key = F.md5(F.concat_ws("\u0000", F.col("h").cast("string"), F.col("left").cast("string"), "ctx"))
+        place = write_shared(around.withColumn("c", key), "surroundings")
+        around = read_shared(spark, place)
+        kinds = around.groupBy("h", "c", "left").agg(F.first("ctx").alias("ctx"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        kinds = kinds.withColumn("n", F.count("*").over(Window.partitionBy("h")))
+        self.members = checkpoint(around.select("c", "m", "pos", "lo", "hi").distinct())
+        cols = ["h", "c", "left", "ctx", "lo", "hi"]
+        self.pairs = checkpoint(kinds.filter((F.col("n") <= PAIRWISE) & ((F.col("n") > 1) | (F.col("lo") < F.col("hi")))).select(cols).groupBy("h").applyInArrow(_compare(length), _LINKS))
+        self.groups = checkpoint(kinds.filter(F.col("n") > PAIRWISE).select("c", "left", "ctx").mapInArrow(_digests(length), "c string, d binary, off int"))
+        drop_shared(spark, place)
         self.length, self.spark = length, spark
 
 
-def _current(nodes: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """Newest rows ``id, repo, m, chars, at`` with a text of at least ``length`` characters in a known repository, with
-    numbered repositories, and the texts."""
+def _current(nodes: DataFrame, length: int) -> DataFrame:
+    """Newest rows ``id, repo, m, chars, at`` with a text of at least ``length`` characters in a known repository, the
+    repositories numbered."""
     rows = nodes.filter(F.col("id").isNotNull()).select(
         "id", "ingested_at", "repo_id", F.when(F.length("raw_text") >= length, F.md5("raw_text")).alias("m"), F.length("raw_text").alias("chars")
     )
     n = newest(rows, "id", "ingested_at", ["repo_id", "m", "chars"]).filter("m IS NOT NULL AND repo_id IS NOT NULL")
     # one row a repository: a short table
     numbers = nodes.select("repo_id").filter("repo_id IS NOT NULL").distinct().withColumn("repo", F.row_number().over(Window.orderBy("repo_id")))
-    n = n.join(numbers, "repo_id").select("id", "repo", "m", "chars", F.col("ingested_at").alias("at"))
-    texts = nodes.filter(F.length("raw_text") >= length).select(F.md5("raw_text").alias("m"), F.col("raw_text").alias("text")).dropDuplicates(["m"])
-    return n, texts
+    return n.join(numbers, "repo_id").select("id", "repo", "m", "chars", F.col("ingested_at").alias("at"))
+
+
+def _fingerprinted(nodes: DataFrame, length: int, buckets: int) -> DataFrame:
+    """Distinct texts ``t, m, text, hs, ps``, partitioned by t. Repeated texts of a task are dropped before the exchange,
+    which each text goes through once."""
+
+    def run(batches):
+        seen: set[str] = set()
+        for b in batches:
+            keep, hs, ps = [], [], []
+            for i, (m, text) in enumerate(zip(b.column("m").to_pylist(), b.column("text").to_pylist())):
+                if m in seen:
+                    continue
+                seen.add(m)
+                h, p = fingerprints(text, length)
+                keep.append(i)
+                hs.append(h)
+                ps.append(p)
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(h) for h in hs])]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else np.empty(0, dt), kind)) for x, dt, kind in ((hs, np.int64, pa.int64()), (ps, np.int32, pa.int32()))]
+            kept = pa.array(keep, pa.int32())
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(kept) for c in ("t", "m", "text")], *lists], names=["t", "m", "text", "hs", "ps"])
+
+    src = nodes.filter(F.length("raw_text") >= length).select(F.md5("raw_text").alias("m"), F.col("raw_text").alias("text")).select(F.xxhash64("m").alias("t"), "m", "text")
+    one = src.mapInArrow(run, "t long, m string, text string, hs array<long>, ps array<int>").repartition(buckets, "t")
+    return one.dropDuplicates(["t", "m"])
 
 
 def shared_spans(nodes: DataFrame, length: int = MIN_LENGTH, batches: int = BATCHES) -> tuple[DataFrame, Verified]:
@@ -270,22 +286,21 @@ def shared_spans(nodes: DataFrame, length: int = MIN_LENGTH, batches: int = BATC
     Repeated rows count once. Texts enter the index by the time they were first seen.
     """
     spark = nodes.sparkSession
-    now, texts = _current(nodes, length)
-    now = checkpoint(now)
+    now = checkpoint(_current(nodes, length))
     each = now.groupBy("m").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi"), F.min("at").alias("at"))
     at = F.unix_micros(F.col("at").cast("timestamp"))
     cuts = each.agg(F.percentile_approx(at, [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"] if batches > 1 else []
     batch = F.lit(0)
     for c in cuts or []:
         batch = batch + F.when(at > c, 1).otherwise(0)
-    index = SpanIndex(spark, int(min(MOST_BUCKETS, max(12, -(-nodes.count() // PER_BUCKET)))), length)
-    store = index.save(
-        texts.join(each, "m").select(F.xxhash64("m").alias("t"), "m", "text", "lo", "hi", batch.alias("batch")), "t", ["batch"]
-    )
-    links, seen = [], None
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() // PER_BUCKET))
+    index = SpanIndex(spark, min(MOST_BUCKETS, buckets), length)
+    each = each.select(F.xxhash64("m").alias("t"), F.col("m").alias("_m"), "lo", "hi", batch.alias("batch"))
+    texts = _fingerprinted(nodes, length, index.buckets).join(each, "t").filter("m = _m").drop("_m")
+    store = index.save(texts, "t", ["batch"])
+    links = []
     for i in range(batches):
-        part = spark.table(store).filter(F.col("batch") == i).select("t", "text", "lo", "hi")
-        found = index.add(part)
+        found = index.add(spark.table(store).filter(F.col("batch") == i).select("t", "hs", "ps", "lo", "hi"))
         known = spark.table(store).filter(F.col("batch") <= i).select("t", "m", "text", "lo", "hi")
         links.append(Verified(_surroundings(known, found, length), length))
     index.close()
