@@ -38,7 +38,7 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
 def write_shared(df: DataFrame, name: str) -> str:
     """Write df as Parquet into the shared folder and return the path."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return path
 
 
