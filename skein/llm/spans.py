@@ -60,7 +60,7 @@ def _sliding_min(a: np.ndarray, w: int) -> np.ndarray:
 
 def fingerprints(text: str, length: int = MIN_LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Chosen window hashes of a text and their positions; none of a text shorter than ``length``."""
-    k = length // 2
+    k = length // 3
     w = length - k + 1
     if len(text) < length:
         return np.empty(0, np.int64), np.empty(0, np.int32)
@@ -89,7 +89,7 @@ class SpanIndex:
 
     def __init__(self, spark: SparkSession, buckets: int, length: int = MIN_LENGTH):
         self.spark, self.buckets, self.length = spark, buckets, length
-        self.k = length // 2
+        self.k = length // 3
         self.runs: list[str] = []
         self.places: dict[str, str] = {}
 
@@ -97,7 +97,7 @@ class SpanIndex:
         """Write df, which is partitioned by the key into as many parts as there are buckets."""
         name = f"skein_{uuid.uuid4().hex}"
         path = f"{shared_dir(self.spark)}/{name}"
-        out = df.write.bucketBy(self.buckets, key).sortBy(key).option("path", path)
+        out = df.write.bucketBy(self.buckets, key).sortBy(key).option("path", path).option("compression", "zstd")
         (out.partitionBy(*parts) if parts else out).saveAsTable(name)
         self.places[name] = path
         return name
@@ -149,7 +149,7 @@ class SpanIndex:
 
 def _surroundings(texts: DataFrame, occurrences: DataFrame, length: int) -> DataFrame:
     """Each occurrence with the characters around its window: ``h, m, pos, lo, hi, left, ctx``."""
-    k = length // 2
+    k = length // 3
     reach = length - k
     per_text = occurrences.groupBy("t").agg(F.collect_set(F.struct("h", "pos")).alias("at"))
     joined = texts.join(per_text.hint("shuffle_hash"), "t")
@@ -186,7 +186,7 @@ _LINKS = "a string, b string, left int, right int"
 
 
 def _compare(length: int):
-    k = length // 2
+    k = length // 3
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("c", "left", "ctx", "lo", "hi"))))
@@ -207,7 +207,7 @@ def _compare(length: int):
 
 def _digests(length: int):
     """Of each surroundings the digests of the spans of least length that hold the window, with the span's offset to it."""
-    k = length // 2
+    k = length // 3
 
     def run(batches):
         for b in batches:
@@ -334,7 +334,7 @@ def node_pairs(now: DataFrame, v: Verified) -> DataFrame:
 def coverage(now: DataFrame, v: Verified) -> DataFrame:
     """``id, partners, shared_chars, chars`` of each node that shares spans with nodes of other repositories: how many such
     nodes, and how many of its characters lie in a span that another repository holds too."""
-    k = v.length // 2
+    k = v.length // 3
     kinds = v.members.groupBy("c").agg(F.min("lo").alias("plo"), F.max("hi").alias("phi"))
     both = v.pairs.select("a", "b", "left", "right").union(v.pairs.filter("a <> b").select("b", "a", "left", "right"))
     p = (
