@@ -66,7 +66,6 @@ def callee_rows(symbols: DataFrame) -> DataFrame:
     return symbols.select(F.col("id").alias("source_id"), "repo_id", "file_path", F.explode(F.array_distinct("callees")).alias("callee"))
 
 
-def called_names(nodes: DataFrame) -> DataFrame:
-    """``source_id, repo_id, file_path, callee`` from stored texts, by expression: names before an opening bracket."""
-    names = F.array_distinct(F.regexp_extract_all("raw_text", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\s*\("), 1))
-    return nodes.select(F.col("id").alias("source_id"), "repo_id", "file_path", F.explode(names).alias("callee"))
+def with_called_names(nodes: DataFrame) -> DataFrame:
+    """nodes with ``callees`` from stored texts, by expression: distinct names before an opening bracket."""
+    return nodes.withColumn("callees", F.array_distinct(F.regexp_extract_all("raw_text", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\s*\("), 1)))

@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.extract.condense import signature, with_condensed
 from skein.functions.text import saved_share, tokens_down
 from skein.operators.graph import adjacent, dependency_graph, path_category
+from skein.sources.tables import checkpoint
 
 PIVOT_BYTES, SHOWN_CALLERS, PROOF_FILES, PROOF_BYTES = 12_000, 10, 8, 16 * 1024
 
 
-def capsules(pivots: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def capsules(pivots: DataFrame, nodes: DataFrame, edges: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``pivot_id, direction, rank, id, signature``: per pivot the pivot itself (direction ``self``, its text, condensed when it has
     more than PIVOT_BYTES), callees as signature lines, and the first callers, of which ``omitted`` says how many loaded ones
-    aren't shown. nodes has raw_text. Texts are joined last, to the rows that are shown."""
+    aren't shown. ``texts`` gives ``id, language, symbol_name, raw_text`` of the ids that it is given: those that are shown."""
     ids = pivots.select(F.col("id").alias("pivot_id"))
     near = adjacent(nodes, edges).join(ids, "pivot_id", "left_semi")
     loaded = near.filter("direction = 'in'").groupBy("pivot_id").agg(F.count("*").alias("n"))
     near = near.filter((F.col("direction") == "out") | (F.col("rank") <= SHOWN_CALLERS))
-    texts = nodes.select("id", "language", "raw_text", F.col("symbol_name").alias("name"))
     want = near.select("pivot_id", "direction", "rank", "id").union(ids.select("pivot_id", F.lit("self"), F.lit(0).cast("long"), "pivot_id"))
-    full = want.join(texts, "id")
+    want = checkpoint(want)
+    full = want.join(texts(want.select("id").distinct()).select("id", "language", "raw_text", F.col("symbol_name").alias("name")), "id")
     cut = with_condensed(full.withColumn("full", F.when(F.col("direction") == "self", F.col("raw_text"))))
     shown = F.when(F.col("direction") != "self", signature(F.col("condensed"), F.col("name"))).when(F.octet_length("full") <= PIVOT_BYTES, F.col("full")).otherwise(F.col("condensed"))
     out = cut.join(loaded, "pivot_id", "left")
@@ -37,11 +40,12 @@ def capsule_tokens(capsule: DataFrame, nodes: DataFrame, files: DataFrame | None
     return used.join(whole, "pivot_id").select("pivot_id", "used", "baseline", saved_share(F.col("baseline"), F.col("used")).alias("saved_pct"))
 
 
-def traces(pivots: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def traces(pivots: DataFrame, nodes: DataFrame, edges: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``pivot_id, rank, id, text``: the pivot's whole text (rank 0) and the condensed texts of its callees."""
     ids = pivots.select(F.col("id").alias("pivot_id"))
     out = adjacent(nodes, edges).filter("direction = 'out'").join(ids, "pivot_id", "left_semi").select("pivot_id", "rank", "id")
-    want = out.union(ids.select("pivot_id", F.lit(0).cast("long"), "pivot_id")).join(nodes.select("id", "language", "raw_text"), "id")
+    want = checkpoint(out.union(ids.select("pivot_id", F.lit(0).cast("long"), "pivot_id")))
+    want = want.join(texts(want.select("id").distinct()).select("id", "language", "raw_text"), "id")
     cut = with_condensed(want.withColumn("full", F.when(F.col("rank") == 0, F.col("raw_text"))))
     return cut.select("pivot_id", "rank", "id", F.coalesce("full", "condensed").alias("text"))
 

@@ -142,23 +142,20 @@ def _double(state: DataFrame) -> DataFrame:
 def hierarchy(links: DataFrame, resolved: DataFrame) -> DataFrame:
     """``node, root, depth, path``: the path from the root to each node of a tree, as an array of ids.
 
-    Indexed parent traversal: level by level from the roots, each level one join of the
-    links with the frontier; as many rounds as the deepest tree has levels.
+    Parent traversal by doubling: each round puts the path of the node that a path starts below before it, so the
+    number of rounds is the logarithm of the greatest depth.
     """
-    res = checkpoint(resolved)
-    deepest = res.agg(F.max("depth")).first()[0] or 0
-    at = links.filter(F.col("parent").isNotNull()).join(res.filter(F.col("depth") > 0), F.col("child") == F.col("node")).select("node", "parent", "root", "depth")
-    at = checkpoint(at)
-    front = res.filter(F.col("depth") == 0).select("node", "root", "depth", F.array("node").alias("path"))
-    levels = [front]
-    for d in range(1, deepest + 1):
-        up = front.select(F.col("node").alias("_p"), F.col("path").alias("_path"))
-        front = checkpoint(at.filter(F.col("depth") == d).join(up, F.col("parent") == F.col("_p")).select("node", "root", "depth", F.concat("_path", F.array("node")).alias("path")))
-        levels.append(front)
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.union(x)
-    return out
+    res = resolved.filter(F.col("root").isNotNull())
+    up = links.filter(F.col("parent").isNotNull()).select(F.col("child").alias("node"), F.col("parent").alias("up"))
+    state = checkpoint(res.join(up, "node", "left").select("node", "root", "depth", "up", F.array("node").alias("path")))
+    while state.filter(F.col("up").isNotNull()).limit(1).count():
+        above = state.select(F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("path").alias("_path"))
+        state = checkpoint(
+            state.join(above, F.col("up") == F.col("_n"), "left").select(
+                "node", "root", "depth", F.col("_up").alias("up"), F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path")
+            )
+        )
+    return state.drop("up")
 
 
 def descendants(paths: DataFrame) -> DataFrame:

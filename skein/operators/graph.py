@@ -13,12 +13,13 @@ from skein.sources.tables import checkpoint, newest, slash
 NODE_COLUMNS = ["repo_id", "file_path", "language", "symbol_name", "symbol_type", "source_start_byte", "source_end_byte", "start_line", "start_column", "end_line", "end_column"]
 
 
-def current_nodes(nodes: DataFrame, shared: DataFrame, removed: DataFrame, text: bool = False) -> DataFrame:
+def current_nodes(nodes: DataFrame, shared: DataFrame, removed: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """The newest row of each id that wasn't removed after it, and the shared rows; paths with ``/``.
 
-    A null ingested_at is oldest and loses to any removal. Rows without an id are left out.
+    A null ingested_at is oldest and loses to any removal. Rows without an id are left out. ``extra`` names further
+    columns of both inputs, such as what was computed from the texts, so that texts needn't go through the exchange.
     """
-    cols = [*NODE_COLUMNS, *(["raw_text"] if text else [])]
+    cols = [*NODE_COLUMNS, *extra]
     n = newest(nodes.withColumn("file_path", slash("file_path")), "id", "ingested_at", cols)
     gone = removed.filter("node_id IS NOT NULL AND removed_at IS NOT NULL").groupBy(F.col("node_id").alias("id")).agg(F.max("removed_at").alias("_gone"))
     n = n.join(gone, "id", "left").filter(F.col("_gone").isNull() | F.coalesce(F.col("_gone") <= F.col("ingested_at"), F.lit(False)))
@@ -97,9 +98,9 @@ def reach(pivots: DataFrame, edges: DataFrame, depth: int, reverse: bool) -> Dat
     """``pivot_id, id, depth, kind``: nodes within ``depth`` edges of each pivot, at their least depth, without the pivot; kind
     is the least relationship of that depth. Cycles end where nothing new is found."""
     frm, to = ("target_id", "source_id") if reverse else ("source_id", "target_id")
-    e = edges.select(F.col(frm).alias("_from"), F.col(to).alias("_to"), F.col("kind").alias("_kind"))
+    e = checkpoint(edges.select(F.col(frm).alias("_from"), F.col(to).alias("_to"), F.col("kind").alias("_kind")))
     seen = pivots.select(F.col("id").alias("pivot_id"), "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("kind"))
-    front = seen
+    seen = front = checkpoint(seen)
     for d in range(1, depth + 1):
         new = (
             front.select("pivot_id", "id").join(e, F.col("id") == F.col("_from"))

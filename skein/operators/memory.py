@@ -9,10 +9,9 @@ from skein.functions.text import with_fnv
 from skein.sources.tables import slash
 
 
-def symbol_hashes(nodes: DataFrame) -> DataFrame:
-    """``id, repo_id, file_path, symbol_name, content_hash`` of nodes with raw_text: the FNV-1a hash of each text, null of null."""
-    src = nodes.select("id", "repo_id", slash("file_path").alias("file_path"), "symbol_name", "raw_text")
-    return with_fnv(src, "raw_text", "content_hash")
+def hashed(nodes: DataFrame) -> DataFrame:
+    """nodes with ``content_hash``, the FNV-1a hash of each text (null of null), in place of the text."""
+    return with_fnv(nodes, "raw_text", "content_hash")
 
 
 def save_observations(new: DataFrame, hashes: DataFrame) -> DataFrame:

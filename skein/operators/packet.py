@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skein.extract.condense import with_condensed
 from skein.functions.text import ascii_lower, capped_count, task_terms, tokens_up
+from skein.sources.tables import checkpoint
 
 # Words that make a task broad or targeted; weights of a term; entry costs; reserve.
 BROAD = ("whole", "entire", "all", "every", "codebase", "repository", "overview")
@@ -58,9 +60,9 @@ def route(task: str, best: int, indexed: bool = True) -> str:
     return "use_native"
 
 
-def candidates(nodes: DataFrame, degree: DataFrame, task: str, k: int) -> DataFrame:
-    """The k best nodes: score, then degree, file, name, id. Texts are joined to the k, not sorted."""
-    s = scored(nodes, task).filter("score > 0").select("id", "file_path", "symbol_name", "score")
+def candidates(scores: DataFrame, degree: DataFrame, k: int) -> DataFrame:
+    """The k best nodes (``id, file_path, symbol_name, score``): score, then degree, file, name, id. Texts aren't sorted."""
+    s = scores.filter("score > 0").select("id", "file_path", "symbol_name", "score")
     return s.join(degree, "id", "left").select("id", "file_path", "symbol_name", "score", F.coalesce("degree", F.lit(0)).alias("degree")).orderBy(
         F.desc("score"), F.desc("degree"), F.asc_nulls_last("file_path"), F.asc_nulls_last("symbol_name"), "id"
     ).limit(k)
@@ -85,14 +87,18 @@ def greedy(entries: DataFrame, group: str, order: str, cost: str, budget: int) -
     return entries.join(kept, group).filter(F.array_contains("_kept", F.col(order).cast("long"))).drop("_kept")
 
 
-def packet(nodes: DataFrame, edges: DataFrame, degree: DataFrame, task: str, request: int = 12_000, profile: str = "cloud") -> DataFrame:
+def packet(
+    scores: DataFrame, edges: DataFrame, degree: DataFrame, texts: Callable[[DataFrame], DataFrame], request: int = 12_000, profile: str = "cloud"
+) -> DataFrame:
     """``rank, context_type, id, score, cost, text``: the entries of a packet for one task within its budget.
 
     The best nodes with their whole text; for each, its first neighbours (callees before callers) condensed, score 1. A node that is
-    an exact entry isn't repeated. Order: exact first, score, file, name, id.
+    an exact entry isn't repeated. Order: exact first, score, file, name, id. scores are current nodes with their score;
+    ``texts`` gives ``id, language, raw_text`` of the few ids that it is given.
     """
     p = PROFILES[profile]
-    best = candidates(nodes, degree, task, p.exact)
+    best = checkpoint(candidates(scores, degree, p.exact))
+    names = scores.select("id", "symbol_name", "file_path")
     exact = best.select("id", "score", F.lit(0).alias("_k"))
     ids = best.select(F.col("id").alias("pivot_id"))
     e = edges.filter("source_id <> target_id")
@@ -100,12 +106,13 @@ def packet(nodes: DataFrame, edges: DataFrame, degree: DataFrame, task: str, req
         ids.join(e, F.col("pivot_id") == F.col("source_id")).select("pivot_id", F.col("target_id").alias("id"), F.lit(0).alias("_way"))
         .union(ids.join(e, F.col("pivot_id") == F.col("target_id")).select("pivot_id", "source_id", F.lit(1)))
         .groupBy("pivot_id", "id").agg(F.min("_way").alias("_way"))
-        .join(nodes.select("id", "symbol_name", "file_path"), "id")
+        .join(names, "id")
     )
     w = Window.partitionBy("pivot_id").orderBy("_way", F.asc_nulls_last("symbol_name"), F.asc_nulls_last("file_path"), "id")
     near = near.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= p.neighbours).select("id").distinct()
     near = near.join(exact.select("id"), "id", "left_anti").select("id", F.lit(1).cast("long").alias("score"), F.lit(1).alias("_k"))
-    every = exact.union(near).join(nodes.select("id", "file_path", "symbol_name", "language", "raw_text"), "id")
+    chosen = checkpoint(exact.union(near).join(names, "id"))
+    every = chosen.join(texts(chosen.select("id")).select("id", "language", "raw_text"), "id")
     full = with_condensed(every.withColumn("full", F.col("raw_text")))
     text = F.when(F.col("_k") == 0, F.col("full")).otherwise(F.substring("condensed", 1, p.chars))
     cost = F.coalesce(tokens_up(text), F.lit(0)) + F.when(F.col("_k") == 0, EXACT_COST).otherwise(CONDENSED_COST)

@@ -5,11 +5,13 @@ Every query runs over the whole tables; a limit occurs only where it is the feat
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.extract.condense import signature, with_condensed
-from skein.extract.table import called_names
+from skein.extract.table import callee_rows, with_called_names
 from skein.functions.text import tokens_down, tokens_up
 from skein.operators import audit, capsule, graph, memory, packet, registry, resolve, search, telemetry
 from skein.sources.tables import slash, table
@@ -18,8 +20,17 @@ TASK = "trace how the registry cursor updates the index budget"
 HUBS = 5
 
 
-def _nodes(spark: SparkSession, sf: str, text: bool = False) -> DataFrame:
-    return graph.current_nodes(table(spark, sf, "nodes"), table(spark, sf, "shared_nodes"), table(spark, sf, "removed_nodes"), text)
+def _nodes(spark: SparkSession, sf: str, derive: Callable[[DataFrame], DataFrame] | None = None, *extra: str) -> DataFrame:
+    """Current nodes; with ``extra`` columns that ``derive`` computes from the texts where they lie, before any exchange."""
+    n, s = table(spark, sf, "nodes"), table(spark, sf, "shared_nodes")
+    if derive:
+        n, s = derive(n), derive(s)
+    return graph.current_nodes(n, s, table(spark, sf, "removed_nodes"), extra)
+
+
+def _texts(spark: SparkSession, sf: str) -> Callable[[DataFrame], DataFrame]:
+    """Texts of given ids: rows of other ids are dropped before the newest are chosen."""
+    return lambda ids: _nodes(spark, sf, lambda df: df.join(ids, "id", "left_semi"), "raw_text")
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,19 +119,23 @@ def sampled_paths(spark: SparkSession, sf: str) -> DataFrame:
     return capsule.sample_paths(_nodes(spark, sf).filter("repo_id IS NOT NULL AND file_path IS NOT NULL"))
 
 
+def _scores_of(spark: SparkSession, sf: str) -> DataFrame:
+    return _nodes(spark, sf, lambda df: packet.scored(df, TASK), "score")
+
+
 def task_score_topk(spark: SparkSession, sf: str) -> DataFrame:
-    n = _nodes(spark, sf, text=True)
-    return packet.candidates(n, graph.degrees(_nodes(spark, sf), _edges(spark, sf)), TASK, 25)
+    return packet.candidates(_scores_of(spark, sf), graph.degrees(_nodes(spark, sf), _edges(spark, sf)), 25)
 
 
 def packet_token_costs(spark: SparkSession, sf: str) -> DataFrame:
     t = F.coalesce("raw_text", F.lit(""))
-    return _nodes(spark, sf, text=True).groupBy("repo_id").agg(F.sum(tokens_up(t)).alias("packet_tokens"), F.sum(tokens_down(t)).alias("capsule_tokens"))
+    n = _nodes(spark, sf, lambda df: df.withColumn("up", tokens_up(t)).withColumn("down", tokens_down(t)), "up", "down")
+    return n.groupBy("repo_id").agg(F.sum("up").alias("packet_tokens"), F.sum("down").alias("capsule_tokens"))
 
 
 def context_packet(spark: SparkSession, sf: str) -> DataFrame:
     e = _edges(spark, sf)
-    return packet.packet(_nodes(spark, sf, text=True), e, graph.degrees(_nodes(spark, sf), e), TASK)
+    return packet.packet(_scores_of(spark, sf), e, graph.degrees(_nodes(spark, sf), e), _texts(spark, sf))
 
 
 def greedy_budget(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,16 +149,19 @@ def greedy_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def condensed_bodies(spark: SparkSession, sf: str) -> DataFrame:
-    n = with_condensed(_nodes(spark, sf, text=True).select("id", "language", "symbol_name", "raw_text"))
-    return n.select("id", F.length("condensed").cast("long").alias("chars"), signature(F.col("condensed"), F.col("symbol_name")).alias("signature"))
+    def derive(df: DataFrame) -> DataFrame:
+        c = with_condensed(df)
+        return c.withColumn("chars", F.length("condensed").cast("long")).withColumn("signature", signature(F.col("condensed"), F.col("symbol_name")))
+
+    return _nodes(spark, sf, derive, "chars", "signature").select("id", "chars", "signature")
 
 
 def capsules(spark: SparkSession, sf: str) -> DataFrame:
-    return capsule.capsules(_hubs(spark, sf), _nodes(spark, sf, text=True), _edges(spark, sf))
+    return capsule.capsules(_hubs(spark, sf), _nodes(spark, sf), _edges(spark, sf), _texts(spark, sf))
 
 
 def traces(spark: SparkSession, sf: str) -> DataFrame:
-    return capsule.traces(_hubs(spark, sf), _nodes(spark, sf, text=True), _edges(spark, sf))
+    return capsule.traces(_hubs(spark, sf), _nodes(spark, sf), _edges(spark, sf), _texts(spark, sf))
 
 
 def class_map(spark: SparkSession, sf: str) -> DataFrame:
@@ -151,11 +169,11 @@ def class_map(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def call_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.resolve_calls(called_names(_nodes(spark, sf, text=True)), _nodes(spark, sf))
+    return resolve.resolve_calls(callee_rows(_nodes(spark, sf, with_called_names, "callees")), _nodes(spark, sf))
 
 
 def import_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    names = called_names(_nodes(spark, sf, text=True)).select("repo_id", "file_path", F.col("callee").alias("import_name"))
+    names = callee_rows(_nodes(spark, sf, with_called_names, "callees")).select("repo_id", "file_path", F.col("callee").alias("import_name"))
     return resolve.resolve_imports(names, _nodes(spark, sf))
 
 
@@ -170,11 +188,11 @@ def vanished_symbols(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def content_hash(spark: SparkSession, sf: str) -> DataFrame:
-    return memory.symbol_hashes(_nodes(spark, sf, text=True)).select("id", "content_hash")
+    return _nodes(spark, sf, memory.hashed, "content_hash").select("id", "content_hash")
 
 
 def observation_staleness(spark: SparkSession, sf: str) -> DataFrame:
-    return memory.mark_stale(table(spark, sf, "observations"), memory.symbol_hashes(_nodes(spark, sf, text=True)), table(spark, sf, "files"))
+    return memory.mark_stale(table(spark, sf, "observations"), _nodes(spark, sf, memory.hashed, "content_hash"), table(spark, sf, "files"))
 
 
 def session_notes(spark: SparkSession, sf: str) -> DataFrame:
