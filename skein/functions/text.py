@@ -117,8 +117,9 @@ def task_terms(task: str) -> list[str]:
 
 
 def capped_count(text: Column, term: str, cap: int = 5) -> Column:
-    """Occurrences of a term that don't overlap, at most ``cap``."""
-    return F.least(((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("int"), F.lit(cap))
+    """Occurrences of a term that don't overlap, at most ``cap``; none in null."""
+    n = ((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("int")
+    return F.least(F.coalesce(n, F.lit(0)), F.lit(cap))
 
 
 # Parts of failure messages and their category; the first that occurs decides.

@@ -43,7 +43,7 @@ def scored(nodes: DataFrame, task: str) -> DataFrame:
     for t in task_terms(task):
         for col, points in (("symbol_name", NAME), ("file_path", PATH), ("symbol_type", KIND)):
             score = score + F.when(ascii_lower(F.col(col)).contains(t), points).otherwise(0)
-        score = score + F.coalesce(capped_count(ascii_lower(F.col("raw_text")), t, MOST), F.lit(0))
+        score = score + capped_count(ascii_lower(F.col("raw_text")), t, MOST)
     return nodes.withColumn("score", score.cast("long"))
 
 

@@ -324,7 +324,7 @@ def _scores() -> str:
     for t in task_terms(TASK):
         for c, p in (("symbol_name", 12), ("file_path", 6), ("symbol_type", 2)):
             out.append(f"CASE WHEN contains({low(c)}, '{t}') THEN {p} ELSE 0 END")
-        out.append(f"coalesce(least((length({low('raw_text')}) - length(replace({low('raw_text')}, '{t}', ''))) // {len(t)}, 5), 0)")
+        out.append(f"least(coalesce((length({low('raw_text')}) - length(replace({low('raw_text')}, '{t}', ''))) // {len(t)}, 0), 5)")
     return " + ".join(out)
 
 
