@@ -42,6 +42,8 @@ def _is_sentence(s: str, open_end: bool) -> bool:
     if len(w) < 3 or len(s.split()) < 3:
         return False
     common = sum(x in _COMMON for x in w)
+    if len(w) >= 8 and common > 0.85 * len(w):
+        return False  # nothing but common words strung together
     visible = sum(not c.isspace() for c in s)
     letters = sum(map(len, w))
     return common >= (0.3 if open_end else 0.2) * len(w) and common >= 2 - (len(w) < 5) and letters >= 0.7 * visible and len(w) >= (5 if open_end else 3)
@@ -111,7 +113,7 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     chars: characters; words: runs of non-blanks; mean_word_length: characters a word;
     symbol_share, digit_share: of the visible characters those that are neither letters nor digits, and digits;
     punct_line_share: of the lines that aren't blank those ending in punctuation; common_share: common words a word;
-    prose_line_share: visible characters in lines of which at least two words, and a fifth, are common and few signs stand alone, of all;
+    prose_line_share: visible characters in lines of which at least two words, and a fifth, but not nearly all, are common and few signs stand alone, of all;
     mean_line_words: words a line. Null, empty and blank texts have 0 words and lines, and null shares.
     """
     t = F.col("_t")
@@ -134,7 +136,7 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         lambda a, x: F.struct(
             (a["n"] + x["n"]).alias("n"), (a["w"] + x["w"]).alias("w"), (a["c"] + x["c"]).alias("c"),
             (a["p"] + F.when(x["p"], 1).otherwise(0)).alias("p"),
-            (a["g"] + F.when((x["c"] >= 2) & (x["c"] * 5 >= x["w"]) & (x["s"] * 8 < x["w"]), x["n"]).otherwise(0)).alias("g"),
+            (a["g"] + F.when((x["c"] >= 2) & (x["c"] * 5 >= x["w"]) & ((x["w"] < 8) | (x["c"] * 20 <= x["w"] * 17)) & (x["s"] * 8 < x["w"]), x["n"]).otherwise(0)).alias("g"),
         ),
     )
     share = lambda a, b: F.when(b > 0, a / b)
