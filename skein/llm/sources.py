@@ -153,23 +153,30 @@ def files(nodes: DataFrame) -> DataFrame:
 
 
 def classify(nodes: DataFrame, sample: int = SAMPLE, trees: int = TREES, chance: float = CHANCE) -> DataFrame:
-    """The files with ``chance`` (of bearing a notice, by the forest) and ``by_hand``.
+    """The files with ``chance`` (of not being written by hand, by the forest) and ``by_hand``.
 
-    The forest is fitted on at most ``sample`` files that aren't third-party, those of the smallest hashes; where all
-    of them bear a notice or none does, there is nothing to learn and the notice itself decides.
+    A first forest is fitted on at most ``sample`` files that aren't third-party, those of the smallest hashes. Files without
+    a notice that it gives at least ``chance`` count as marked, those at half of it or more as unknown, and a second forest
+    is fitted on the rest; it decides at one half. Where all files bear a notice or none does, there is nothing
+    to learn and the notice itself decides. Of files whose texts are all null nothing is known: they count as written by hand.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     every = checkpoint(files(nodes))
-    own = every.filter(~F.col("third_party")).orderBy(F.xxhash64("repo_id", "path"), "repo_id", "path").limit(sample)
+    own = every.filter(~F.col("third_party") & (F.col("compression_ratio") > 0)).orderBy(F.xxhash64("repo_id", "path"), "repo_id", "path").limit(sample)
     kinds = own.agg(F.count_if("notice").alias("a"), F.count("*").alias("b")).first()
     if not 0 < kinds["a"] < kinds["b"]:
         scored = every.withColumn("chance", F.col("notice").cast("double"))
     else:
+        forest = RandomForestClassifier(
+            labelCol="y", featuresCol="x", numTrees=trees, maxDepth=6, minInstancesPerNode=max(2, min(8, kinds["b"] // 250)), subsamplingRate=0.8, seed=11
+        )
         join = VectorAssembler(inputCols=FEATURES, outputCol="x")
-        train = checkpoint(join.transform(own.withColumn("y", F.col("notice").cast("double")).select("y", *FEATURES)).select("y", "x").coalesce(4))
-        model = RandomForestClassifier(labelCol="y", featuresCol="x", numTrees=trees, maxDepth=6, minInstancesPerNode=max(2, min(8, kinds["b"] // 250)), subsamplingRate=0.8, seed=11).fit(train)
-        scored = model.transform(join.transform(every)).withColumn("chance", vector_to_array("probability")[1])
-    return scored.select("repo_id", "path", *FEATURES, "notice", "third_party", "chance", (~F.col("third_party") & (F.col("chance") < chance)).alias("by_hand"))
+        p = vector_to_array("probability")[1]
+        train = checkpoint(join.transform(own.select("notice", *FEATURES)).select("notice", "x").coalesce(4))
+        first = forest.fit(train.withColumn("y", F.col("notice").cast("double")))
+        known = checkpoint(first.transform(train).select("x", F.when(F.col("notice") | (p >= chance), 1.0).when(p < chance / 2, 0.0).alias("y")).filter("y IS NOT NULL"))
+        scored = forest.fit(known).transform(join.transform(every)).withColumn("chance", F.when(F.col("compression_ratio") > 0, p).otherwise(0.0))
+    return scored.select("repo_id", "path", *FEATURES, "notice", "third_party", "chance", (~F.col("third_party") & (F.col("chance") < 0.5)).alias("by_hand"))
