@@ -30,7 +30,7 @@ from skein.sources.tables import checkpoint, drop_shared, newest, read_shared, s
 
 MIN_LENGTH = 300
 #: Batches of a whole table; runs that are compacted into one; different surroundings of a window that are compared pairwise.
-BATCHES, FAN_IN, PAIRWISE = 4, 3, 64
+BATCHES, FAN_IN, PAIRWISE = 3, 2, 64
 #: Texts that one bucket holds on average, and the most buckets.
 PER_BUCKET, MOST_BUCKETS = 20_000, 20_000
 
@@ -93,12 +93,11 @@ class SpanIndex:
         self.runs: list[str] = []
         self.places: dict[str, str] = {}
 
-    def save(self, df: DataFrame, key: str, parts: list[str] | None = None) -> str:
+    def save(self, df: DataFrame, key: str) -> str:
         """Write df, which is partitioned by the key into as many parts as there are buckets."""
         name = f"skein_{uuid.uuid4().hex}"
         path = f"{shared_dir(self.spark)}/{name}"
-        out = df.write.bucketBy(self.buckets, key).sortBy(key).option("path", path).option("compression", "zstd")
-        (out.partitionBy(*parts) if parts else out).saveAsTable(name)
+        df.write.bucketBy(self.buckets, key).sortBy(key).option("path", path).option("compression", "zstd").saveAsTable(name)
         self.places[name] = path
         return name
 
@@ -139,12 +138,13 @@ class SpanIndex:
         several = range(len(self.runs))
         low, high = F.least("lo", *[f"lo{i}" for i in several]) if self.runs else F.col("lo"), F.greatest("hi", *[f"hi{i}" for i in several]) if self.runs else F.col("hi")
         self.runs.append(fresh)
-        hot = checkpoint(met.filter(low < high).select("h"))
+        hot = checkpoint(met.filter(low < high).select("h").distinct())
         found = None
         for r in self.runs:
             o = self.spark.table(r).join(hot, "h", "left_semi")
             found = o if found is None else found.union(o)
-        return found
+        # what is shared is little: the exchange gathers it from the buckets into a few parts
+        return checkpoint(found.distinct())
 
 
 def _surroundings(texts: DataFrame, occurrences: DataFrame, length: int) -> DataFrame:
@@ -229,7 +229,7 @@ class Verified:
     def __init__(self, around: DataFrame, length: int):
         spark = around.sparkSession
         key = F.md5(F.concat_ws("\u0000", F.col("h").cast("string"), F.col("left").cast("string"), "ctx"))
-        place = write_shared(around.withColumn("c", key), "surroundings")
+        place = write_shared(around.withColumn("c", key).repartition("h"), "surroundings")
         around = read_shared(spark, place)
         kinds = around.groupBy("h", "c", "left").agg(F.first("ctx").alias("ctx"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         kinds = kinds.withColumn("n", F.count("*").over(Window.partitionBy("h")))
@@ -297,17 +297,13 @@ def shared_spans(nodes: DataFrame, length: int = MIN_LENGTH, batches: int = BATC
     index = SpanIndex(spark, min(MOST_BUCKETS, buckets), length)
     each = each.select(F.xxhash64("m").alias("t"), F.col("m").alias("_m"), "lo", "hi", batch.alias("batch"))
     texts = _fingerprinted(nodes, length, index.buckets).join(each, "t").filter("m = _m").drop("_m")
-    store = index.save(texts, "t", ["batch"])
-    links = []
+    store = spark.table(index.save(texts, "t"))
+    found = None
     for i in range(batches):
-        found = index.add(spark.table(store).filter(F.col("batch") == i).select("t", "hs", "ps", "lo", "hi"))
-        known = spark.table(store).filter(F.col("batch") <= i).select("t", "m", "text", "lo", "hi")
-        links.append(Verified(_surroundings(known, found, length), length))
+        new = index.add(store.filter(F.col("batch") == i).select("t", "hs", "ps", "lo", "hi"))
+        found = new if found is None else found.union(new)
+    v = Verified(_surroundings(store.select("t", "m", "text", "lo", "hi"), found, length), length)
     index.close()
-    v = links[0]
-    for x in links[1:]:
-        v.members, v.pairs, v.groups = v.members.union(x.members), v.pairs.union(x.pairs), v.groups.union(x.groups)
-    v.members, v.pairs, v.groups = v.members.distinct(), v.pairs.distinct(), v.groups.distinct()
     return now, v
 
 
