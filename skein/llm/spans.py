@@ -33,6 +33,8 @@ MIN_LENGTH = 300
 BATCHES, FAN_IN, PAIRWISE = 3, 2, 64
 #: Texts that one bucket holds on average, and the most buckets.
 PER_BUCKET, MOST_BUCKETS = 20_000, 20_000
+#: The digests of at most so many texts (some 50 bytes each) are broadcast to pick them; more are picked by a join.
+BROADCAST_TEXTS = 100_000
 
 _BASE = 6364136223846793005
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -147,12 +149,17 @@ class SpanIndex:
         return checkpoint(found.distinct())
 
 
-def _surroundings(texts: DataFrame, occurrences: DataFrame, length: int) -> DataFrame:
-    """Each occurrence with the characters around its window: ``h, m, pos, lo, hi, left, ctx``."""
+def _surroundings(nodes: DataFrame, each: DataFrame, occurrences: DataFrame, length: int) -> DataFrame:
+    """Each occurrence with the characters around its window: ``h, m, pos, lo, hi, left, ctx``. Texts are read again, so
+    that only those with an occurrence are moved; of repeated texts one a task."""
     k = length // 3
     reach = length - k
     per_text = occurrences.groupBy("t").agg(F.collect_set(F.struct("h", "pos")).alias("at"))
-    joined = texts.join(per_text.hint("shuffle_hash"), "t")
+    per_text = checkpoint(per_text.join(each.select("t", F.col("_m").alias("m"), "lo", "hi"), "t").drop("t"))
+    texts = nodes.filter(F.length("raw_text") >= length).select(F.md5("raw_text").alias("m"), F.col("raw_text").alias("text"))
+    if per_text.count() <= BROADCAST_TEXTS:
+        texts = texts.join(F.broadcast(per_text.select("m")), "m", "left_semi")
+    joined = texts.dropDuplicates(["m"]).join(per_text, "m")
 
     def run(batches):
         for b in batches:
@@ -254,8 +261,8 @@ def _current(nodes: DataFrame, length: int) -> DataFrame:
 
 
 def _fingerprinted(nodes: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Distinct texts ``t, m, text, hs, ps``, partitioned by t. Repeated texts of a task are dropped before the exchange,
-    which each text goes through once."""
+    """The fingerprints ``t, m, hs, ps`` of distinct texts, partitioned by t. Repeated texts of a task are dropped before
+    the exchange, which no text goes through."""
 
     def run(batches):
         seen: set[str] = set()
@@ -272,10 +279,10 @@ def _fingerprinted(nodes: DataFrame, length: int, buckets: int) -> DataFrame:
             ends = pa.array(np.concatenate([[0], np.cumsum([len(h) for h in hs])]).astype(np.int32))
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else np.empty(0, dt), kind)) for x, dt, kind in ((hs, np.int64, pa.int64()), (ps, np.int32, pa.int32()))]
             kept = pa.array(keep, pa.int32())
-            yield pa.RecordBatch.from_arrays([*[b.column(c).take(kept) for c in ("t", "m", "text")], *lists], names=["t", "m", "text", "hs", "ps"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(kept) for c in ("t", "m")], *lists], names=["t", "m", "hs", "ps"])
 
     src = nodes.filter(F.length("raw_text") >= length).select(F.md5("raw_text").alias("m"), F.col("raw_text").alias("text")).select(F.xxhash64("m").alias("t"), "m", "text")
-    one = src.mapInArrow(run, "t long, m string, text string, hs array<long>, ps array<int>").repartition(buckets, "t")
+    one = src.mapInArrow(run, "t long, m string, hs array<long>, ps array<int>").repartition(buckets, "t")
     return one.dropDuplicates(["t", "m"])
 
 
@@ -296,13 +303,13 @@ def shared_spans(nodes: DataFrame, length: int = MIN_LENGTH, batches: int = BATC
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() // PER_BUCKET))
     index = SpanIndex(spark, min(MOST_BUCKETS, buckets), length)
     each = each.select(F.xxhash64("m").alias("t"), F.col("m").alias("_m"), "lo", "hi", batch.alias("batch"))
-    texts = _fingerprinted(nodes, length, index.buckets).join(each, "t").filter("m = _m").drop("_m")
+    texts = _fingerprinted(nodes, length, index.buckets).join(each, "t").filter("m = _m").drop("m", "_m")
     store = spark.table(index.save(texts, "t"))
     found = None
     for i in range(batches):
         new = index.add(store.filter(F.col("batch") == i).select("t", "hs", "ps", "lo", "hi"))
         found = new if found is None else found.union(new)
-    v = Verified(_surroundings(store.select("t", "m", "text", "lo", "hi"), found, length), length)
+    v = Verified(_surroundings(nodes, each, found, length), length)
     index.close()
     return now, v
 

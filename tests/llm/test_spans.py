@@ -50,9 +50,10 @@ def table(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "pairwise", "batches"), [(1, 64, 4), (2, 0, 2), (3, 3, 5), (4, 64, 1)])
-def test_pairs_and_coverage(spark, monkeypatch, seed, pairwise, batches):
+@pytest.mark.parametrize(("seed", "pairwise", "batches", "few"), [(1, 64, 4, 0), (2, 0, 2, 100_000), (3, 3, 5, 0), (4, 64, 1, 100_000)])
+def test_pairs_and_coverage(spark, monkeypatch, seed, pairwise, batches, few):
     monkeypatch.setattr(spans, "PAIRWISE", pairwise)
+    monkeypatch.setattr(spans, "BROADCAST_TEXTS", few)
     rows = table(seed)
     now, v = spans.shared_spans(spark.createDataFrame(rows, SCHEMA), L, batches)
     pairs, cover = brute(rows, L)
