@@ -67,10 +67,21 @@ def _match(code: str, at: int, opening: str = "{", closing: str = "}") -> int:
     return len(code)
 
 
-def callees(code: str) -> list[str]:
-    """Names that are called, in order of appearance."""
-    found = (m[1] for m in re.finditer(r"([A-Za-z_$][\w$]*)\s*(?:::\s*<[^<>;{}]*>\s*|<[\w\s,:&*]*>\s*|!\s*)?\(", code))
-    return list(dict.fromkeys(x for x in found if x not in _KEYWORDS))
+_CALL = re.compile(r"([A-Za-z_$][\w$]*)\s*(?:::\s*<[^<>;{}]*>\s*|<[\w\s,:&*]*>\s*|!\s*)?\(")
+_DECLARES = re.compile(r"\b(?:fn|function|get|set)\s*\*?\s*$")
+_HAS_BODY = re.compile(r"\s*(?::\s*[^;{}=()]+)?(?:const\b|noexcept\b|override\b|final\b|\s)*\{")
+
+
+def callees(code: str, rust: bool = False) -> list[str]:
+    """Names that are called, in order of appearance; names of declarations aren't. Only in Rust can a body follow a call."""
+    out: dict[str, None] = {}
+    for m in _CALL.finditer(code):
+        if m[1] in _KEYWORDS or _DECLARES.search(code, max(0, m.start() - 12), m.start()):
+            continue
+        if not rust and _HAS_BODY.match(code, _match(code, m.end() - 1, "(", ")")):
+            continue
+        out.setdefault(m[1])
+    return list(out)
 
 
 _TS = [
@@ -121,7 +132,7 @@ def symbols(text: str, ext: str) -> list[Symbol]:
         found = _ts(code)
     to_byte = _byte_offsets(text)
     out = [
-        Symbol(kind, name, to_byte(a), to_byte(b), callees(_without_head(code[a:b])) if has_calls(kind, ext) else [])
+        Symbol(kind, name, to_byte(a), to_byte(b), callees(_without_head(code[a:b]), rust) if has_calls(kind, ext) else [])
         for kind, name, a, b in dict.fromkeys(found)
     ]
     return sorted(out, key=lambda s: (s.start, -s.end))

@@ -14,7 +14,9 @@ from skein.extract.condense import signature, with_condensed
 from skein.extract.table import callee_rows, with_called_names
 from skein.functions.text import tokens_down, tokens_up
 from skein.operators import audit, capsule, graph, memory, packet, registry, resolve, search, telemetry
+from skein.plans import ingest
 from skein.sources.tables import slash, table
+from skein.sources.tree import extension
 
 TASK = "trace how the registry cursor updates the index budget"
 HUBS = 5
@@ -271,6 +273,25 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     return _log(spark, sf).groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count("*").alias("events"))
 
 
+def language_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The three commonest extensions of each repository's files."""
+    f = table(spark, sf, "files").select("repo_id", slash("file_path").alias("p")).distinct().filter("repo_id IS NOT NULL")
+    n = f.groupBy("repo_id", extension(F.col("p")).alias("language")).agg(F.count("*").alias("files"))
+    return telemetry.ranked_per_key(n, "repo_id", [F.desc("files"), "language"], 3).select("repo_id", F.col("rank").cast("long").alias("rank"), "language", "files")
+
+
+def self_check(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.self_check(_nodes(spark, sf).filter("repo_id IS NOT NULL AND file_path IS NOT NULL"))
+
+
+def distinct_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    return _nodes(spark, sf).select("symbol_type").distinct()
+
+
+def symbol_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    return _nodes(spark, sf).filter("symbol_name IS NOT NULL").select("repo_id", "symbol_name").distinct()
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -279,6 +300,7 @@ QUERIES = {
         sampled_paths, task_score_topk, packet_token_costs, context_packet, greedy_budget, condensed_bodies, capsules, traces, class_map, call_resolution,
         import_resolution, file_changeset, vanished_symbols, content_hash, observation_staleness, session_notes, freshness_audit, counter_rollup, lifetime_stats,
         session_savings, failure_ring, failure_categories, activity_states, transcript_usage, transcript_tools, workspace_inventory, event_windows,
+        language_mix, self_check, distinct_kinds, symbol_sweep,
     )
 }
 
@@ -451,5 +473,13 @@ SELECT session, model, CAST(count(*) AS BIGINT) AS requests, CAST(sum(i) AS BIGI
 s AS (SELECT repo_id, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM (SELECT repo_id, count(*) AS a FROM cur GROUP BY 1) FULL JOIN (SELECT repo_id, count(*) AS b FROM f GROUP BY 1) USING (repo_id) WHERE repo_id IS NOT NULL)
 SELECT workspace_id, label, CASE WHEN s.repo_id IS NULL THEN 'missing_db' WHEN a = 0 AND b = 0 THEN 'empty' ELSE 'available' END AS status,
   CAST(CASE WHEN s.repo_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS repos, CAST(coalesce(a, 0) AS BIGINT) AS symbols, CAST(coalesce(b, 0) AS BIGINT) AS files FROM w LEFT JOIN s ON s.repo_id = workspace_id""",
+    "language_mix": """WITH f AS (SELECT DISTINCT repo_id, replace(file_path, '\\', '/') AS p FROM files WHERE repo_id IS NOT NULL),
+n AS (SELECT repo_id, lower(split_part(p, '.', -1)) AS language, count(*) AS files FROM f GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY files DESC, language) AS rank FROM n)
+SELECT repo_id, CAST(rank AS BIGINT) AS rank, language, CAST(files AS BIGINT) AS files FROM k WHERE rank <= 3""",
+    "self_check": _CUR + """SELECT repo_id, file_path, min(symbol_name) AS symbol_name, TRUE AS found_slash, TRUE AS found_backslash FROM cur
+WHERE symbol_name IS NOT NULL AND repo_id IS NOT NULL AND file_path IS NOT NULL GROUP BY 1, 2""",
+    "distinct_kinds": _CUR + "SELECT DISTINCT symbol_type FROM cur",
+    "symbol_sweep": _CUR + "SELECT DISTINCT repo_id, symbol_name FROM cur WHERE symbol_name IS NOT NULL",
     "event_windows": "SELECT date_trunc('hour', ts) AS hour, event_type, CAST(count(*) AS BIGINT) AS events FROM events GROUP BY 1, 2",
 }
