@@ -325,6 +325,23 @@ def parsed(nodes: DataFrame) -> DataFrame:
     return newest(src.mapInArrow(_parse, _PARSED.replace("timestamp", src.schema["ingested_at"].dataType.simpleString())), "id", "ingested_at", cols)
 
 
+def _enclosed(methods: DataFrame, classes: DataFrame) -> DataFrame:
+    """``id, repo_id, cls, name, description, bases`` of each method in the innermost class of its file around it.
+
+    Classes are keyed by cells as wide as the power of two next to their length, of which each touches at most two, and a method is
+    looked up in its cell of each width that its file has; so even in a file of very many symbols only
+    classes around or next to a method meet it.
+    """
+    c = classes.filter(F.col("ce") > F.col("cs")).withColumn("w", F.ceil(F.log2(F.col("ce") - F.col("cs"))).cast("int"))
+    low, high = F.expr("shiftright(cs, w)"), F.expr("shiftright(ce, w)")
+    c = c.withColumn("cell", F.explode(F.sequence(low, high)))
+    widths = c.select("repo_id", "file_path", "w").distinct()
+    m = methods.select("id", "repo_id", "file_path", "name", "description", "start", "end").join(widths, ["repo_id", "file_path"]).withColumn("cell", F.expr("shiftright(start, w)"))
+    inside = m.join(c, ["repo_id", "file_path", "w", "cell"]).filter((F.col("start") >= F.col("cs")) & (F.col("end") <= F.col("ce")))
+    best = F.max_by(F.struct("repo_id", "cls", "name", "description", F.col("cb").alias("bases")), F.struct("cs", "cls"))
+    return inside.groupBy("id").agg(best.alias("m")).select("id", "m.*")
+
+
 def pairs(nodes: DataFrame, rounds: int = 8) -> DataFrame:
     """``id, description, source_id``: each function or method with a real description.
 
@@ -338,13 +355,7 @@ def pairs(nodes: DataFrame, rounds: int = 8) -> DataFrame:
     classes = p.filter(F.col("kind").isin(*_CLASSES) & F.col("name").isNotNull()).select(
         "repo_id", "file_path", F.col("name").alias("cls"), F.col("start").alias("cs"), F.col("end").alias("ce"), F.col("bases").alias("cb")
     )
-    members = (
-        p.filter(F.col("kind").isin("function", "method") & F.col("name").isNotNull())
-        .join(classes.hint("shuffle_hash"), ["repo_id", "file_path"])
-        .filter((F.col("start") >= F.col("cs")) & (F.col("end") <= F.col("ce")))
-        .groupBy("id").agg(F.max_by(F.struct("repo_id", "cls", "name", "description", F.col("cb").alias("bases")), "cs").alias("m"))
-        .select("id", "m.*")
-    )
+    members = _enclosed(p.filter(F.col("kind").isin("function", "method") & F.col("name").isNotNull()), classes)
     members = checkpoint(members)
     known = members.groupBy("repo_id", "cls", "name").agg(
         F.min_by(F.struct("description", F.col("id").alias("source_id")), F.struct(F.col("description") == "", F.col("id"))).alias("k")

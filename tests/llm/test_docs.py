@@ -82,3 +82,19 @@ def test_pairs_inherit_through_bases(spark):
     got = {(r.id, r.source_id) for r in docs.pairs(df).collect()}
     assert got == {("A.m", "A.m"), ("B.m", "A.m"), ("C.m", "A.m")}
     assert docs.pairs(df.limit(0)).count() == 0
+
+
+def test_innermost_class_against_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    classes = [("r", f"f{rng.randrange(3)}", f"c{i}", a, a + rng.choice([1, 7, 64, 300, 5000]), ["B"]) for i in range(60) for a in [rng.randrange(6000)]]
+    methods = [(f"m{i}", "r", f"f{rng.randrange(4)}", "n", "", a, a + rng.randrange(60)) for i in range(200) for a in [rng.randrange(7000)]]
+    c = spark.createDataFrame(classes, "repo_id string, file_path string, cls string, cs long, ce long, cb array<string>")
+    m = spark.createDataFrame(methods, "id string, repo_id string, file_path string, name string, description string, start long, end long")
+    want = {}
+    for i, r, f, _, _, s, e in methods:
+        around = [(cs, cls) for cr, cf, cls, cs, ce, _ in classes if cr == r and cf == f and cs <= s and e <= ce]
+        if around:
+            want[i] = max(around)[1]
+    assert {x.id: x.cls for x in docs._enclosed(m, c).collect()} == want
