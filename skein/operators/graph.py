@@ -13,13 +13,14 @@ from skein.sources.tables import checkpoint, newest, slash
 NODE_COLUMNS = ["repo_id", "file_path", "language", "symbol_name", "symbol_type", "source_start_byte", "source_end_byte", "start_line", "start_column", "end_line", "end_column"]
 
 
-def current_nodes(nodes: DataFrame, shared: DataFrame, removed: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+def current_nodes(nodes: DataFrame, shared: DataFrame, removed: DataFrame, extra: tuple[str, ...] = (), columns: tuple[str, ...] = tuple(NODE_COLUMNS)) -> DataFrame:
     """The newest row of each id that wasn't removed after it, and the shared rows; paths with ``/``.
 
     A null ingested_at is oldest and loses to any removal. Rows without an id are left out. ``extra`` names further
-    columns of both inputs, such as what was computed from the texts, so that texts needn't go through the exchange.
+    columns of both inputs, such as what was computed from the texts, so that texts needn't go through the exchange;
+    ``columns`` are the others that are wanted: what isn't, is neither read nor moved.
     """
-    cols = [*NODE_COLUMNS, *extra]
+    cols = [*columns, *extra]
     n = newest(nodes.withColumn("file_path", slash("file_path")), "id", "ingested_at", cols)
     gone = removed.filter("node_id IS NOT NULL AND removed_at IS NOT NULL").groupBy(F.col("node_id").alias("id")).agg(F.max("removed_at").alias("_gone"))
     n = n.join(gone, "id", "left").filter(F.col("_gone").isNull() | F.coalesce(F.col("_gone") <= F.col("ingested_at"), F.lit(False)))

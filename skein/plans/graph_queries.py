@@ -15,11 +15,13 @@ from skein.extract.table import callee_rows, with_called_names
 from skein.functions.text import tokens_down, tokens_up
 from skein.operators import audit, capsule, graph, memory, packet, registry, resolve, search, telemetry
 from skein.plans import ingest
-from skein.sources.tables import slash, table
+from skein.sources.tables import checkpoint, slash, table
 from skein.sources.tree import extension
 
 TASK = "trace how the registry cursor updates the index budget"
 HUBS = 5
+#: What most questions need of a node.
+NAMES = ("repo_id", "file_path", "language", "symbol_name", "symbol_type")
 
 
 def _nodes(spark: SparkSession, sf: str, derive: Callable[[DataFrame], DataFrame] | None = None, *extra: str) -> DataFrame:
@@ -27,7 +29,12 @@ def _nodes(spark: SparkSession, sf: str, derive: Callable[[DataFrame], DataFrame
     n, s = table(spark, sf, "nodes"), table(spark, sf, "shared_nodes")
     if derive:
         n, s = derive(n), derive(s)
-    return graph.current_nodes(n, s, table(spark, sf, "removed_nodes"), extra)
+    return graph.current_nodes(n, s, table(spark, sf, "removed_nodes"), extra, NAMES)
+
+
+def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a query that needs them several times, worked out once."""
+    return checkpoint(_nodes(spark, sf)), checkpoint(_edges(spark, sf))
 
 
 def _texts(spark: SparkSession, sf: str) -> Callable[[DataFrame], DataFrame]:
@@ -39,24 +46,25 @@ def _edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph.edge_set(table(spark, sf, "edges"))
 
 
-def _hubs(spark: SparkSession, sf: str) -> DataFrame:
+def _hubs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The nodes that most edges point at."""
-    n = _edges(spark, sf).groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("n"))
-    return n.join(_nodes(spark, sf).select("id"), "id", "left_semi").orderBy(F.desc("n"), "id").limit(HUBS).select("id")
+    n = edges.groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("n"))
+    return n.join(nodes.select("id"), "id", "left_semi").orderBy(F.desc("n"), "id").limit(HUBS).select("id")
 
 
 def degree_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    n = _nodes(spark, sf)
-    return graph.top_by_degree(n, graph.degrees(n, _edges(spark, sf))).select("id", "file_path", "symbol_name", "degree")
+    n, e = _graph(spark, sf)
+    return graph.top_by_degree(n, graph.degrees(n, e)).select("id", "file_path", "symbol_name", "degree")
 
 
 def top_k_subgraph_edges(spark: SparkSession, sf: str) -> DataFrame:
-    n, e = _nodes(spark, sf), _edges(spark, sf)
+    n, e = _graph(spark, sf)
     return graph.induced_edges(e, graph.top_by_degree(n, graph.degrees(n, e)))
 
 
 def neighbor_degrees(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.neighbours(_hubs(spark, sf), _nodes(spark, sf), _edges(spark, sf))
+    n, e = _graph(spark, sf)
+    return graph.neighbours(_hubs(n, e), n, e)
 
 
 def repo_scope_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,11 +76,13 @@ def capsule_neighbors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def impact_hubs(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.impact(_hubs(spark, sf), _nodes(spark, sf), _edges(spark, sf))
+    n, e = _graph(spark, sf)
+    return graph.impact(_hubs(n, e), n, e)
 
 
 def dependency_graph(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.dependency_graph(_hubs(spark, sf), _nodes(spark, sf), _edges(spark, sf))
+    n, e = _graph(spark, sf)
+    return graph.dependency_graph(_hubs(n, e), n, e)
 
 
 def dangling_edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,7 +110,7 @@ def pick_symbols(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def skeleton_listing(spark: SparkSession, sf: str) -> DataFrame:
-    return search.listing(_nodes(spark, sf))
+    return search.listing(_nodes(spark, sf, lambda df: df, "source_start_byte", "start_line"))
 
 
 def directory_listing(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,7 +124,8 @@ def path_categories(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def neighbour_categories(spark: SparkSession, sf: str) -> DataFrame:
-    return capsule.neighbour_categories(_hubs(spark, sf), _nodes(spark, sf), _edges(spark, sf))
+    n, e = _graph(spark, sf)
+    return capsule.neighbour_categories(_hubs(n, e), n, e)
 
 
 def sampled_paths(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,7 +137,8 @@ def _scores_of(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def task_score_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return packet.candidates(_scores_of(spark, sf), graph.degrees(_nodes(spark, sf), _edges(spark, sf)), 25)
+    scores = checkpoint(_scores_of(spark, sf))
+    return packet.candidates(scores, graph.degrees(scores, _edges(spark, sf)), 25)
 
 
 def packet_token_costs(spark: SparkSession, sf: str) -> DataFrame:
@@ -136,8 +148,8 @@ def packet_token_costs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def context_packet(spark: SparkSession, sf: str) -> DataFrame:
-    e = _edges(spark, sf)
-    return packet.packet(_scores_of(spark, sf), e, graph.degrees(_nodes(spark, sf), e), _texts(spark, sf))
+    scores, e = checkpoint(_scores_of(spark, sf)), checkpoint(_edges(spark, sf))
+    return packet.packet(scores, e, graph.degrees(scores, e), _texts(spark, sf))
 
 
 def greedy_budget(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,15 +171,18 @@ def condensed_bodies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def capsules(spark: SparkSession, sf: str) -> DataFrame:
-    return capsule.capsules(_hubs(spark, sf), _nodes(spark, sf), _edges(spark, sf), _texts(spark, sf))
+    n, e = _graph(spark, sf)
+    return capsule.capsules(_hubs(n, e), n, e, _texts(spark, sf))
 
 
 def traces(spark: SparkSession, sf: str) -> DataFrame:
-    return capsule.traces(_hubs(spark, sf), _nodes(spark, sf), _edges(spark, sf), _texts(spark, sf))
+    n, e = _graph(spark, sf)
+    return capsule.traces(_hubs(n, e), n, e, _texts(spark, sf))
 
 
 def class_map(spark: SparkSession, sf: str) -> DataFrame:
-    return capsule.class_map(_hubs(spark, sf), _nodes(spark, sf), _edges(spark, sf))
+    n, e = _graph(spark, sf)
+    return capsule.class_map(_hubs(n, e), n, e)
 
 
 def call_resolution(spark: SparkSession, sf: str) -> DataFrame:
