@@ -67,7 +67,7 @@ def class_map(pivots: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFram
     ids = pivots.select(F.col("id").alias("pivot_id"))
     home = ids.join(nodes.select(F.col("id").alias("pivot_id"), "repo_id", "file_path"), "pivot_id")
     mates = home.join(nodes.select("id", "repo_id", "file_path"), ["repo_id", "file_path"]).select("pivot_id", F.lit("file").alias("part"), F.col("id").alias("key"), F.lit(0).cast("long").alias("value"))
-    deps = dependency_graph(pivots, nodes, edges).select("pivot_id", "direction", "id", "depth")
+    deps = dependency_graph(pivots, nodes, edges).filter("NOT already_seen").select("pivot_id", "direction", "id", "depth")
     cats = neighbour_categories(pivots, nodes, edges).select("pivot_id", F.lit("category"), "category", "files")
     return mates.union(deps).union(cats)
 

@@ -5,6 +5,8 @@ All walks take many pivots at once and move along ids; texts and names are joine
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,9 +127,61 @@ def impact(pivots: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 1
     return r.withColumn("truncated", F.count("*").over(total) >= cap).select("pivot_id", "id", F.col("depth").cast("long").alias("depth"), "kind", "truncated")
 
 
+def dependency_walk(pivots: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2, direction: str = "both", cap: int = 200) -> tuple[DataFrame, DataFrame]:
+    """The breadth-first neighbourhood of each pivot: its entries, and per pivot ``pivot_id, nodes, edges, truncated``.
+
+    Entries are ``pivot_id, direction, depth, position, id, kind, parent_id, already_seen``, in the order in which a queue meets
+    them: by the parent's place, then relationship, name, file, id. Both directions, callers first, share the nodes visited
+    and the cap on them, the pivot included. A link to a node that was visited before is an entry in addition to the cap and isn't
+    followed; one to a new node beyond the cap makes the walk truncated. edges counts every link met. edges are distinct.
+    """
+    facts = nodes.select("id", "symbol_name", "file_path")
+    start = checkpoint(pivots.select(F.col("id").alias("pivot_id"), "id", F.lit(0).cast("long").alias("_seq")).distinct())
+    visited = start.select("pivot_id", "id")
+    entries, counts, over = [], [], []
+    for way in {"callers": [0], "callees": [1], "both": [0, 1]}[direction]:
+        frm, to = ("source_id", "target_id") if way else ("target_id", "source_id")
+        e = edges.select(F.col(frm).alias("_from"), F.col(to).alias("_to"), "kind")
+        front = start
+        for d in range(1, depth + 1):
+            met = front.select("pivot_id", F.col("id").alias("parent_id"), F.col("_seq").alias("_parent")).join(e, F.col("parent_id") == F.col("_from"))
+            met = checkpoint(met.select("pivot_id", "parent_id", "_parent", "kind", F.col("_to").alias("id")).join(facts.select("id"), "id", "left_semi"))
+            counts.append(met.groupBy("pivot_id").agg(F.count("*").alias("n")))
+            new = met.join(visited, ["pivot_id", "id"], "left_anti").groupBy("pivot_id", "id").agg(F.min(F.struct("_parent", "kind")).alias("_first"))
+            w = Window.partitionBy("pivot_id").orderBy("_first", F.asc_nulls_last("symbol_name"), F.asc_nulls_last("file_path"), "id")
+            # of the new nodes one more than have room is enough to see that the walk is truncated
+            new = new.join(facts, "id").withColumn("_seq", F.row_number().over(w).cast("long")).filter(F.col("_seq") <= cap)
+            new = checkpoint(new.join(visited.groupBy("pivot_id").agg(F.count("*").alias("_have")), "pivot_id").select("pivot_id", "id", "_first", "_seq", (F.col("_seq") + F.col("_have") <= cap).alias("_in")))
+            over.append(new.filter("NOT _in").select("pivot_id"))
+            front = new.filter("_in")
+            visited = visited.union(front.select("pivot_id", "id"))
+            seen = visited.join(front.select("pivot_id", "id", "_first"), ["pivot_id", "id"], "left")
+            first = F.coalesce(F.struct("_parent", "kind").eqNullSafe(F.col("_first")), F.lit(False))
+            entries.append(met.join(seen, ["pivot_id", "id"]).select("pivot_id", F.lit(way).alias("_way"), F.lit(d).cast("long").alias("depth"), "_parent", "parent_id", "kind", "id", (~first).alias("already_seen")))
+            if front.limit(1).count() == 0:
+                break
+    union = lambda parts: reduce(DataFrame.union, parts)
+    w = Window.partitionBy("pivot_id").orderBy("_way", "depth", "_parent", "kind", F.asc_nulls_last("symbol_name"), F.asc_nulls_last("file_path"), "id")
+    rows = union(entries).join(facts, "id").withColumn("position", F.row_number().over(w).cast("long"))
+    links = union(counts).groupBy("pivot_id").agg(F.sum("n").alias("edges"))
+    cut = union(over).distinct().withColumn("truncated", F.lit(True))
+    totals = visited.groupBy("pivot_id").agg(F.count("*").alias("nodes")).join(links, "pivot_id", "left").join(cut, "pivot_id", "left")
+    return (
+        rows.select("pivot_id", F.when(F.col("_way") == 0, "callers").otherwise("callees").alias("direction"), "depth", "position", "id", "kind", "parent_id", "already_seen"),
+        totals.select("pivot_id", "nodes", F.coalesce("edges", F.lit(0)).cast("long").alias("edges"), F.coalesce("truncated", F.lit(False)).alias("truncated")),
+    )
+
+
 def dependency_graph(pivots: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2, direction: str = "both", cap: int = 200) -> DataFrame:
-    """``pivot_id, direction, depth, position, id, kind``: breadth-first neighbourhood of each pivot up to ``cap`` nodes, the
-    pivot included. Both directions share the cap, callers first; within a depth the order is relationship, name, file, id."""
+    """The entries of dependency_walk, each with its pivot's ``nodes, edges, truncated``."""
+    entries, totals = dependency_walk(pivots, nodes, edges, depth, direction, cap)
+    return entries.join(totals, "pivot_id")
+
+
+def nearest_by_direction(pivots: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2, direction: str = "both", cap: int = 200) -> DataFrame:
+    """``pivot_id, direction, depth, position, id, kind``: nodes that each direction reaches on its own, callers first, then by
+    depth, relationship, name, file, id, up to ``cap`` rows with the pivot. Not the walk of dependency_walk: a node reached both
+    ways takes two places, and links to nodes already seen aren't given."""
     facts = nodes.select("id", "symbol_name", "file_path")
     ways = {"callers": [(True, 0)], "callees": [(False, 1)], "both": [(True, 0), (False, 1)]}[direction]
     parts = [reach(pivots, edges, depth, reverse).withColumn("_way", F.lit(way)) for reverse, way in ways]

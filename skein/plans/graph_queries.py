@@ -81,6 +81,12 @@ def impact_hubs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dependency_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """What its SQL says: each direction alone, ranked by depth. The walk with one visited set is dependency_walk."""
+    n, e = _graph(spark, sf)
+    return graph.nearest_by_direction(_hubs(n, e), n, e)
+
+
+def dependency_walk(spark: SparkSession, sf: str) -> DataFrame:
     n, e = _graph(spark, sf)
     return graph.dependency_graph(_hubs(n, e), n, e)
 
@@ -310,7 +316,7 @@ def symbol_sweep(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        degree_ranking, top_k_subgraph_edges, neighbor_degrees, repo_scope_counts, capsule_neighbors, impact_hubs, dependency_graph, dangling_edges,
+        degree_ranking, top_k_subgraph_edges, neighbor_degrees, repo_scope_counts, capsule_neighbors, impact_hubs, dependency_graph, dependency_walk, dangling_edges,
         resolve_candidates, find_symbol_prefix, find_symbol_like, pick_symbols, skeleton_listing, directory_listing, path_categories, neighbour_categories,
         sampled_paths, task_score_topk, packet_token_costs, context_packet, greedy_budget, condensed_bodies, capsules, traces, class_map, call_resolution,
         import_resolution, file_changeset, vanished_symbols, content_hash, observation_staleness, session_notes, freshness_audit, counter_rollup, lifetime_stats,

@@ -89,6 +89,48 @@ def test_dependency_graph_shares_its_cap(spark):
     assert [r.id for r in graph.dependency_graph(ids(spark, "p"), n, e, direction="callees").orderBy("position").collect()] == ["c", "d"]
 
 
+def _walk(start, facts, edges, depth, ways, cap):
+    """A queue per direction, one visited set: entries in order, edges met, truncated."""
+    seen, out, met, cut = {start}, [], 0, False
+    for way in ways:
+        queue = [(start, 0)]
+        while queue:
+            at, d = queue.pop(0)
+            if d >= depth:
+                continue
+            near = [(k, *facts[b], b) for a, b, k in edges if a == at and b in facts] if way == "callees" else [(k, *facts[a], a) for a, b, k in edges if b == at and a in facts]
+            for k, *_, to in sorted(near):
+                met += 1
+                if to in seen:
+                    out.append((way, d + 1, to, k, at, True))
+                elif len(seen) >= cap:
+                    cut = True
+                else:
+                    seen.add(to)
+                    queue.append((to, d + 1))
+                    out.append((way, d + 1, to, k, at, False))
+    return out, len(seen), met, cut
+
+
+def test_dependency_graph_against_a_queue(spark):
+    rng = random.Random(7)
+    names = [f"n{i}" for i in range(30)]
+    facts = {x: (f"s{rng.randrange(6)}", f"f{rng.randrange(3)}.py") for x in names}
+    pairs = sorted({(rng.choice(names[:12] + ["gone"]), rng.choice(names), rng.choice(["CALLS", "IMPORTS"])) for _ in range(110)})
+    n, e = nodes_of(spark, *[(x, "r", p, s, "function") for x, (s, p) in facts.items()]), edges_of(spark, *pairs)
+    starts = ["n0", "n3", "n5", "n20"]
+    for depth, direction, cap in ((2, "both", 200), (3, "both", 9), (2, "both", 5), (3, "callees", 6), (2, "callers", 4), (2, "both", 1)):
+        ways = ["callers", "callees"] if direction == "both" else [direction]
+        entries, totals = graph.dependency_walk(ids(spark, *starts), n, e, depth, direction, cap)
+        got, sums = entries.collect(), {r.pivot_id: (r.nodes, r.edges, r.truncated) for r in totals.collect()}
+        for s in starts:
+            want, *rest = _walk(s, facts, pairs, depth, ways, cap)
+            mine = sorted((r for r in got if r.pivot_id == s), key=lambda r: r.position)
+            assert [r.position for r in mine] == list(range(1, len(mine) + 1))
+            assert [(r.direction, r.depth, r.id, r.kind, r.parent_id, r.already_seen) for r in mine] == want
+            assert sums[s] == tuple(rest)
+
+
 def test_adjacent_limits_each_side(spark):
     n = nodes_of(spark, "p", *[f"c{i}" for i in range(9)])
     e = edges_of(spark, *[(f"c{i}", "p") for i in range(9)], ("p", "c3"), ("p", "p"), ("p", "none"))
