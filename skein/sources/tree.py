@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import fnmatch
 import json
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,20 +33,84 @@ def ignored_names(root: str) -> list[str]:
     return [x for x in names if isinstance(x, str)] if isinstance(names, list) else []
 
 
-def gitignore_patterns(root: str) -> list[str]:
-    try:
-        with open(os.path.join(root, ".gitignore"), encoding="utf-8", errors="replace") as f:
-            return [x.strip() for x in f if x.strip() and not x.startswith(("#", "!"))]
-    except OSError:
-        return []
-
-
-def _to_regex(pattern: str) -> str:
-    """A .gitignore pattern (without negation) as a regular expression over relative paths."""
-    anchored = "/" in pattern.rstrip("/")
-    body = fnmatch.translate(pattern.strip("/")).removeprefix("(?s:").removesuffix(")\\z").removesuffix(")\\Z")
-    body = body.replace(".*", "[^/]*") if "**" not in pattern else body
-    return (r"^" if anchored else r"(^|/)") + body + r"(/|$)"
+def gitignore_rules(root: str) -> list[tuple[str, bool]]:
+    """Regular expressions over relative paths, directories ending in ``/``, and whether a match is taken back in. Of all
+    .gitignore files of the tree, the deepest first and of each the last line first, so that the first match decides."""
+    root = root.removeprefix("file://").removeprefix("file:")
+    out = []
+    for at, dirs, files in os.walk(root):
+        dirs[:] = sorted(d for d in dirs if not d.startswith("."))
+        if ".gitignore" not in files:
+            continue
+        try:
+            with open(os.path.join(at, ".gitignore"), encoding="utf-8-sig", errors="replace") as f:
+                lines = f.read().split("\n")
+        except OSError:
+            continue
+        below = os.path.relpath(at, root).replace(os.sep, "/")
+        below = "" if below == "." else below + "/"
+        rules = [r for r in (_to_regex(x, below) for x in lines) if r]
+        out.append((-below.count("/"), below, rules[::-1]))
+    return [r for _, _, rules in sorted(out, key=lambda x: x[:2]) for r in rules]
+
+
+def _to_regex(line: str, below: str) -> tuple[str, bool] | None:
+    """A line of the .gitignore file of the directory ``below``; None for one that is no pattern."""
+    line = line.removesuffix("\r")
+    bare = line.rstrip(" \t")
+    if len(bare) < len(line) and bare.endswith("\\"):
+        bare += " "
+    if not bare or bare.startswith("#"):
+        return None
+    negated = bare.startswith("!")
+    p = bare[1:] if negated else bare
+    folder = p.endswith("/")
+    p = p.removesuffix("/")
+    free = "/" not in p
+    p = p.removeprefix("/")
+    if not p:
+        return None
+    body, i = "(?:.*/)?" if free else "", 0
+    while i < len(p):
+        c = p[i]
+        start = i == 0 or p[i - 1] == "/"
+        if start and p.startswith("**/", i):
+            body, i = body + "(?:.*/)?", i + 3
+        elif start and p[i:] == "**":
+            body, i = body + ".+", i + 2
+        elif c == "*":
+            body, i = body + "[^/]*", i + 1
+        elif c == "?":
+            body, i = body + "[^/]", i + 1
+        elif c == "[":
+            m = re.match(r"\[([!^]?)(\]?(?:\\.|[^\]\\])*)\]", p[i:])
+            if not m or not m[2]:
+                return None
+            inner = re.sub(r"\\(.)|([\[\]^&])", lambda x: "\\" + (x[1] or x[2]) if not (x[1] or "").isalnum() else x[1], m[2])
+            body, i = body + "(?!/)[" + "^" * bool(m[1]) + inner + "]", i + m.end()
+        else:
+            if c == "\\":
+                i += 1
+                if i == len(p):
+                    return None
+            body, i = body + re.escape(p[i]), i + 1
+    return "(?s)^" + re.escape(below) + body + r"(?<!/)" + ("/" if folder else "/?") + r"\z", negated
+
+
+def gitignored(path, rules: list[tuple[str, bool]]) -> F.Column:
+    """Whether a file or a directory above it is excluded; what lies in an excluded directory can't be taken back in."""
+    parts = F.split(path, "/")
+    n = F.size(parts)
+    steps = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.when(i < n, "/").otherwise("")))
+
+    def excluded(p):
+        out = None
+        for regex, negated in rules:
+            hit, value = F.regexp_like(p, F.lit(regex)), F.lit(not negated)
+            out = F.when(hit, value) if out is None else out.when(hit, value)
+        return out.otherwise(False)
+
+    return F.exists(steps, excluded)
 
 
 def extension(path) -> F.Column:
@@ -83,8 +147,8 @@ def scan_tree(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
     keep = safe_to_parse(F.col("file_path")) & supported(F.col("file_path")) & ~F.exists(dirs, lambda d: d.startswith(".")) & ~F.element_at(F.split("file_path", "/"), -1).startswith(".")
     if names := ignored_names(root):
         keep = keep & ~F.arrays_overlap(dirs, F.array(*[F.lit(x) for x in names]))
-    for p in gitignore_patterns(root):
-        keep = keep & ~F.regexp_like("file_path", F.lit(_to_regex(p)))
+    if rules := gitignore_rules(root):
+        keep = keep & ~gitignored(F.col("file_path"), rules)
     text = F.when(F.col("length") <= FILE_LIMIT, F.decode("content", "UTF-8"))
     return df.filter(keep).select(
         F.lit(repo_id).alias("repo_id"), "file_path", extension(F.col("file_path")).alias("language"), F.col("length").alias("size"),

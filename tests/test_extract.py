@@ -143,3 +143,25 @@ def test_tree(spark, tmp_path):
     assert ignored_names(str(tmp_path)) == []
     (tmp_path / ".skein.json").write_text('{"ignore": ["a"]}')
     assert {r.file_path for r in scan_tree(spark, str(tmp_path), "r").collect()} == {"node_modules/y.py", "b.rs"}
+
+
+def _scanned(spark, root, files):
+    for p, t in files.items():
+        (root / p).parent.mkdir(parents=True, exist_ok=True)
+        (root / p).write_text(t)
+    return {r.file_path for r in scan_tree(spark, str(root), "r").collect()}
+
+
+def test_tree_takes_back_what_gitignore_negates(spark, tmp_path):
+    files = {"src/a.py": "1", "src/in/b.py": "1", "other/c.py": "1", "top.py": "1"}
+    assert _scanned(spark, tmp_path / "x", files | {".gitignore": "*\n!src/\n!src/**\n"}) == {"src/a.py", "src/in/b.py"}
+    files = {"lib/keep.py": "1", "lib/drop.py": "1", "lib/sub/keep.py": "1", "gone/keep.py": "1"}
+    assert _scanned(spark, tmp_path / "y", files | {".gitignore": "lib/*\n!lib/keep.py\ngone/\n!gone/keep.py\n"}) == {"lib/keep.py"}
+    files = {"a.py": "1", "b.py": "1", "d/a.py": "1", "!c.py": "1", "q/w/r.py": "1", "q/r.py": "1", "z1.py": "1", "za.py": "1"}
+    assert _scanned(spark, tmp_path / "z", files | {".gitignore": "!a.py\n/a.py\n\\!c.py\nq/**/r.py\nb.py \nz[!a-c].py\n"}) == {"d/a.py", "za.py"}
+
+
+def test_tree_reads_nested_gitignore(spark, tmp_path):
+    files = {"a/x.py": "1", "a/gen/y.py": "1", "b/gen/y.py": "1", "a/b/z.py": "1", "b/z.py": "1", "c/z.py": "1"}
+    rules = {".gitignore": "z.py\n", "a/.gitignore": "/gen\n", "b/.gitignore": "!z.py\n"}
+    assert _scanned(spark, tmp_path, files | rules) == {"a/x.py", "b/gen/y.py", "b/z.py"}
