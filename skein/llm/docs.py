@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.sources.tables import checkpoint, newest, slash
@@ -342,13 +342,13 @@ def _enclosed(methods: DataFrame, classes: DataFrame) -> DataFrame:
     return inside.groupBy("id").agg(best.alias("m")).select("id", "m.*")
 
 
-def pairs(nodes: DataFrame, rounds: int = 8) -> DataFrame:
+def pairs(nodes: DataFrame) -> DataFrame:
     """``id, description, source_id``: each function or method with a real description.
 
     ``source_id`` is the id itself for a description of its own, else the overridden method whose
     description it inherits: the one of the same name in the nearest base class of the same
-    repository that has one, through at most ``rounds`` levels of bases. Functions whose description is
-    absent, says nothing and is not inherited are dropped. Null texts, names and empty tables give no rows.
+    repository that has one, through as many levels of bases as there are; a class is asked once, so cycles end. Functions whose
+    description is absent, says nothing and is not inherited are dropped. Null texts, names and empty tables give no rows.
     """
     p = checkpoint(parsed(nodes))
     own = p.filter(F.col("kind").isin("function", "method") & (F.col("description") != "")).select("id", "description", F.col("id").alias("source_id"))
@@ -361,20 +361,21 @@ def pairs(nodes: DataFrame, rounds: int = 8) -> DataFrame:
         F.min_by(F.struct("description", F.col("id").alias("source_id")), F.struct(F.col("description") == "", F.col("id"))).alias("k")
     ).select(F.col("repo_id").alias("r"), F.col("cls").alias("c"), F.col("name").alias("n"), "k.*")
     heads = classes.groupBy(F.col("repo_id").alias("hr"), F.col("cls").alias("hc")).agg(F.max("cb").alias("hb"))
-    open_ = members.filter((F.col("description") == "") & (F.size("bases") > 0)).select("id", "repo_id", "name", "bases")
-    found = own
-    for _ in range(rounds):
-        up = open_.select("id", "repo_id", "name", F.posexplode("bases").alias("at", "base"))
-        j = up.join(known, (F.col("repo_id") == F.col("r")) & (F.col("base") == F.col("c")) & (F.col("name") == F.col("n")), "left").join(
-            heads, (F.col("repo_id") == F.col("hr")) & (F.col("base") == F.col("hc")), "left"
-        )
-        step = checkpoint(j.groupBy("id", "repo_id", "name").agg(
-            F.min_by(F.struct("description", "source_id"), F.when(F.coalesce("description", F.lit("")) != "", F.col("at"))).alias("hit"),
-            F.flatten(F.collect_list(F.coalesce("hb", F.array().cast("array<string>")))).alias("bases"),
-        ))
-        hit = F.coalesce(F.col("hit.description"), F.lit("")) != ""
-        found = found.union(step.filter(hit).select("id", "hit.description", "hit.source_id"))
-        open_ = step.filter(~hit & (F.size("bases") > 0)).select("id", "repo_id", "name", F.array_distinct("bases").alias("bases"))
+    up = heads.select("hr", "hc", F.posexplode("hb").alias("hat", "hb")).groupBy("hr", "hc", "hb").agg(F.min("hat").alias("hat"))
+    said = known.filter("description <> ''")
+    open_ = members.filter(F.col("description") == "").select("id", "repo_id", "name", F.posexplode("bases").alias("place", "base"))
+    open_ = open_.groupBy("id", "repo_id", "name", "base").agg(F.min("place").alias("place"))
+    found, visited = own, None
+    while True:
+        open_ = checkpoint(open_)
         if open_.limit(1).count() == 0:
-            break
-    return found
+            return found
+        j = open_.join(said, (F.col("repo_id") == F.col("r")) & (F.col("base") == F.col("c")) & (F.col("name") == F.col("n")))
+        hit = checkpoint(j.groupBy("id").agg(F.min_by(F.struct("description", "source_id"), "place").alias("k")).select("id", "k.*"))
+        found = found.union(hit)
+        pairs_ = open_.select("id", "base")
+        visited = pairs_ if visited is None else visited.union(pairs_)
+        far = open_.join(hit.select("id"), "id", "left_anti").join(up, (F.col("repo_id") == F.col("hr")) & (F.col("base") == F.col("hc")))
+        far = far.groupBy("id", "repo_id", "name", F.col("hb").alias("base")).agg(F.min(F.struct("place", "hat")).alias("_p")).join(visited, ["id", "base"], "left_anti")
+        w = Window.partitionBy("id").orderBy("_p", "base")
+        open_ = far.select("id", "repo_id", "name", "base", F.row_number().over(w).alias("place"))

@@ -98,3 +98,24 @@ def test_innermost_class_against_brute_force(spark):
         if around:
             want[i] = max(around)[1]
     assert {x.id: x.cls for x in docs._enclosed(m, c).collect()} == want
+
+
+NODE = "id string, ingested_at timestamp, repo_id string, file_path string, language string, symbol_type string, symbol_name string, source_start_byte long, source_end_byte long, raw_text string"
+
+
+def _class(rows, name, bases, method="def m(self):\n    pass\n", language="py", header=None, key=None, path="f.py"):
+    """A class with a method m, after those of rows."""
+    at, key, k = datetime(2024, 1, 1), key or name, len(rows) * 100
+    rows.append((key, at, "r", path, language, "class", name, k, k + 90, header or f"class {name}({bases}):\n"))
+    rows.append((f"{key}.m", at, "r", path, language, "function", "m", k + 10, k + 50, method))
+
+
+def test_pairs_inherit_through_any_number_of_levels(spark):
+    rows = []
+    _class(rows, "K0", "", f'def m(self):\n    """{GOOD}"""\n')
+    for i in range(1, 13):
+        _class(rows, f"K{i}", f"K{i - 1}")
+    _class(rows, "U", "V")
+    _class(rows, "V", "U, U")
+    got = {r.id: r.source_id for r in docs.pairs(spark.createDataFrame(rows, NODE)).collect()}
+    assert got == {f"K{i}.m": "K0.m" for i in range(13)}
