@@ -345,7 +345,8 @@ def _enclosed(methods: DataFrame, classes: DataFrame) -> DataFrame:
 def pairs(nodes: DataFrame) -> DataFrame:
     """``id, description, source_id``: each function or method with a real description.
 
-    ``source_id`` is the id itself for a description of its own, else the overridden method whose
+    ``source_id`` is the id itself for a description of its own, to which that of the overridden method is appended where the
+    comment asks to inherit; else the overridden method whose
     description it inherits: the one of the same name in the nearest base class of the same
     repository that has one, through as many levels of bases as there are; a class is asked once, so cycles end. Functions whose
     description is absent, says nothing and is not inherited are dropped. Null texts, names and empty tables give no rows.
@@ -360,22 +361,43 @@ def pairs(nodes: DataFrame) -> DataFrame:
     known = members.groupBy("repo_id", "cls", "name").agg(
         F.min_by(F.struct("description", F.col("id").alias("source_id")), F.struct(F.col("description") == "", F.col("id"))).alias("k")
     ).select(F.col("repo_id").alias("r"), F.col("cls").alias("c"), F.col("name").alias("n"), "k.*")
-    heads = classes.groupBy(F.col("repo_id").alias("hr"), F.col("cls").alias("hc")).agg(F.max("cb").alias("hb"))
-    up = heads.select("hr", "hc", F.posexplode("hb").alias("hat", "hb")).groupBy("hr", "hc", "hb").agg(F.min("hat").alias("hat"))
+    # every declaration of a class's name in the repository counts; of a base named several times the first place does
+    up = classes.select(F.col("repo_id").alias("hr"), F.col("cls").alias("hc"), "file_path", "cs", F.posexplode("cb").alias("hat", "hb"))
+    up = up.groupBy("hr", "hc", "hb").agg(F.min(F.struct("file_path", "cs", "hat")).alias("hat"))
     said = known.filter("description <> ''")
-    open_ = members.filter(F.col("description") == "").select("id", "repo_id", "name", F.posexplode("bases").alias("place", "base"))
+    asking = p.filter("inherits").select("id")
+    silent = members.filter(F.col("description") == "").union(members.filter(F.col("description") != "").join(asking, "id", "left_semi").select(members.columns))
+    open_ = silent.select("id", "repo_id", "name", F.posexplode("bases").alias("place", "base"))
     open_ = open_.groupBy("id", "repo_id", "name", "base").agg(F.min("place").alias("place"))
-    found, visited = own, None
+    links, visited = None, None
     while True:
         open_ = checkpoint(open_)
         if open_.limit(1).count() == 0:
-            return found
-        j = open_.join(said, (F.col("repo_id") == F.col("r")) & (F.col("base") == F.col("c")) & (F.col("name") == F.col("n")))
+            break
+        j = open_.join(said, (F.col("repo_id") == F.col("r")) & (F.col("base") == F.col("c")) & (F.col("name") == F.col("n")) & (F.col("id") != F.col("source_id")))
         hit = checkpoint(j.groupBy("id").agg(F.min_by(F.struct("description", "source_id"), "place").alias("k")).select("id", "k.*"))
-        found = found.union(hit)
+        links = hit if links is None else links.union(hit)
         pairs_ = open_.select("id", "base")
         visited = pairs_ if visited is None else visited.union(pairs_)
         far = open_.join(hit.select("id"), "id", "left_anti").join(up, (F.col("repo_id") == F.col("hr")) & (F.col("base") == F.col("hc")))
         far = far.groupBy("id", "repo_id", "name", F.col("hb").alias("base")).agg(F.min(F.struct("place", "hat")).alias("_p")).join(visited, ["id", "base"], "left_anti")
         w = Window.partitionBy("id").orderBy("_p", "base")
         open_ = far.select("id", "repo_id", "name", "base", F.row_number().over(w).alias("place"))
+    if links is None:
+        return own
+    # what a method inherits may ask for its own base's description in turn
+    at = links.select(F.col("id").alias("at"), F.col("description").alias("more"), F.col("source_id").alias("next"))
+    walk = links.select("id", F.col("description").alias("text"), "source_id", F.col("source_id").alias("last"), F.array("id", "source_id").alias("path"))
+    ended = None
+    while True:
+        walk = checkpoint(walk)
+        if walk.limit(1).count() == 0:
+            break
+        j = walk.join(at, (F.col("last") == F.col("at")) & ~F.array_contains("path", F.col("next")), "left")
+        stop = j.filter("next IS NULL").select("id", "text", "source_id")
+        ended = stop if ended is None else ended.union(stop)
+        walk = j.filter("next IS NOT NULL").select("id", F.concat_ws(" ", "text", "more").alias("text"), "source_id", F.col("next").alias("last"), F.array_append("path", F.col("next")).alias("path"))
+    if ended is None:
+        return own
+    both = own.join(ended.select("id", "text"), "id", "left").select("id", F.concat_ws(" ", "description", "text").alias("description"), "source_id")
+    return both.union(ended.join(own.select("id"), "id", "left_anti").select("id", F.col("text").alias("description"), "source_id"))

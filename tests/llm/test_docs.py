@@ -119,3 +119,32 @@ def test_pairs_inherit_through_any_number_of_levels(spark):
     _class(rows, "V", "U, U")
     got = {r.id: r.source_id for r in docs.pairs(spark.createDataFrame(rows, NODE)).collect()}
     assert got == {f"K{i}.m": "K0.m" for i in range(13)}
+
+
+def test_pairs_of_bases_that_say_nothing(spark):
+    rows = []
+    _class(rows, "U", "")
+    _class(rows, "V", "U")
+    _class(rows, "W", "", f'def m(self):\n    """{GOOD}"""\n')
+    assert {(r.id, r.source_id) for r in docs.pairs(spark.createDataFrame(rows, NODE)).collect()} == {("W.m", "W.m")}
+
+
+def test_pairs_search_the_bases_of_every_declaration(spark):
+    rows = []
+    _class(rows, "A", "", f'def m(self):\n    """{GOOD}"""\n')
+    _class(rows, "B", "")
+    _class(rows, "Mid", "A", key="Mid1")
+    _class(rows, "Mid", "B", key="Mid2", path="g.py")
+    _class(rows, "Low", "Mid")
+    got = {r.id: r.source_id for r in docs.pairs(spark.createDataFrame(rows, NODE)).collect()}
+    assert got == {"A.m": "A.m", "Mid1.m": "A.m", "Low.m": "A.m"}
+
+
+def test_pairs_append_what_a_comment_asks_to_inherit(spark):
+    own = ["Opens the lower file and reads every line.", "Counts the middle words of each given line.", "Writes the upper totals into the given table."]
+    rows = []
+    for name, base, text in (("A", "", own[0]), ("B", "A", own[1] + " {@inheritDoc}"), ("C", "B", own[2] + " {@inheritDoc}"), ("D", "C", None)):
+        method = f"/** {text} */\nm() {{}}\n" if text else "m() {}\n"
+        _class(rows, name, base, method, "ts", f"class {name} {{" if not base else f"class {name} extends {base} {{")
+    got = {r.id: (r.description, r.source_id) for r in docs.pairs(spark.createDataFrame(rows, NODE)).collect()}
+    assert got == {"A.m": (own[0], "A.m"), "B.m": (f"{own[1]} {own[0]}", "B.m"), "C.m": (f"{own[2]} {own[1]} {own[0]}", "C.m"), "D.m": (f"{own[2]} {own[1]} {own[0]}", "C.m")}
