@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.extract.condense import with_condensed
@@ -87,6 +88,32 @@ def greedy(entries: DataFrame, group: str, order: str, cost: str, budget: int) -
     return entries.join(kept, group).filter(F.array_contains("_kept", F.col(order).cast("long"))).drop("_kept")
 
 
+def greedy_in_order(entries: DataFrame, group: str, order: list[Column], id_: str, cost: str, budget: int) -> DataFrame:
+    """``group, id, position, cost``: as greedy, for groups of any size. Rows are folded as they pass in order; the state is one sum.
+
+    No group and no cost is null.
+    """
+
+    def fold(batches):
+        at, used, place = None, 0, 0
+        for b in batches:
+            kept, places = [], []
+            for i, (g, c) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist())):
+                if g != at:
+                    at, used, place = g, 0, 0
+                place += 1
+                if used + c <= budget:
+                    used += c
+                    kept.append(i)
+                    places.append(place)
+            few = b.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), pa.array(places, pa.int64()), few.column(2)], names=[group, id_, "position", cost])
+
+    kinds = dict(entries.dtypes)
+    rows = entries.repartition(group).sortWithinPartitions(group, *order).select(group, id_, cost)
+    return rows.mapInArrow(fold, f"{group} {kinds[group]}, {id_} {kinds[id_]}, position long, {cost} {kinds[cost]}")
+
+
 def packet(
     scores: DataFrame, edges: DataFrame, degree: DataFrame, texts: Callable[[DataFrame], DataFrame], request: int = 12_000, profile: str = "cloud"
 ) -> DataFrame:

@@ -160,12 +160,9 @@ def context_packet(spark: SparkSession, sf: str) -> DataFrame:
 
 def greedy_budget(spark: SparkSession, sf: str) -> DataFrame:
     """Of each observation's repository, the newest notes that fit a budget of 200 tokens."""
-    from pyspark.sql import Window
-
     o = table(spark, sf, "observations").select("id", "repo_id", "timestamp", "observation_text").distinct().filter("repo_id IS NOT NULL")
-    w = Window.partitionBy("repo_id").orderBy(F.desc_nulls_last("timestamp"), F.desc("id"))
-    rows = o.select("repo_id", "id", F.row_number().over(w).alias("position"), tokens_up(F.coalesce("observation_text", F.lit(""))).alias("cost")).filter("position <= 64")
-    return packet.greedy(rows, "repo_id", "position", "cost", 200).select("repo_id", "id", F.col("position").cast("long").alias("position"), "cost")
+    rows = o.select("repo_id", "id", "timestamp", tokens_up(F.coalesce("observation_text", F.lit(""))).alias("cost"))
+    return packet.greedy_in_order(rows, "repo_id", [F.desc_nulls_last("timestamp"), F.desc("id")], "id", "cost", 200)
 
 
 def condensed_bodies(spark: SparkSession, sf: str) -> DataFrame:

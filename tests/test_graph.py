@@ -299,3 +299,27 @@ def test_notes(spark):
     assert {r.id: r.is_stale for r in memory.mark_stale(o, h, files).collect()} == {1: False, 2: True, 3: False, 4: True, 5: True}
     notes = memory.session_context(saved.union(saved), repo="r", path="d\\f.py")
     assert [r.note for r in notes.collect()] == ["note"]
+
+
+def test_greedy_in_order_goes_on_through_the_whole_group(spark):
+    rng = random.Random(3)
+    notes = [(g, i, rng.choice([0, 3, 40, 90])) for g in ("a", "b", "c") for i in range(300)] + [("d", 0, 500), ("d", 1, 200)]
+    want = set()
+    for g in "abcd":
+        used = 0
+        for place, (_, i, c) in enumerate(sorted((x for x in notes if x[0] == g), key=lambda x: -x[1]), 1):
+            if used + c <= 200:
+                used += c
+                want.add((g, i, place, c))
+    df = spark.createDataFrame(rng.sample(notes, len(notes)), "g string, i long, cost long")
+    got = {tuple(r) for r in packet.greedy_in_order(df, "g", [df.i.desc()], "i", "cost", 200).collect()}
+    assert got == want and max(p for _, _, p, _ in got) > 64
+
+
+def test_greedy_budget_takes_notes_past_the_64th(spark, tmp_path):
+    from skein.plans.graph_queries import greedy_budget
+
+    o = [(f"o{i:03}", "r", datetime(2024, 1, 1, i // 60, i % 60), "x" * 120 if i >= 36 else None) for i in range(100)]
+    spark.createDataFrame(o, "id string, repo_id string, timestamp timestamp, observation_text string").write.parquet(str(tmp_path / "observations.parquet"))
+    got = {r.id for r in greedy_budget(spark, str(tmp_path)).collect()}
+    assert {f"o{i:03}" for i in range(36)} <= got and 0 < len(got) - 36 < 64
