@@ -58,21 +58,42 @@ def p9_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.judge(table(spark, sf, "documents"))
+    return quality.statistics(table(spark, sf, "documents")).drop("_text")
+
+
+def p10_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([quality.learn(table(spark, sf, "documents"))])
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p10_statistics(spark, sf).filter("junk").select("doc_id")
+    return quality.judge(table(spark, sf, "documents")).filter("junk").select("doc_id")
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_coverage, p3_found, p3_files, p4_found, p4_pairs, p7_found, p7_pieces, p8_ids, p8_round_trip, p9_containers, p9_fill, p10_found, p10_statistics,
+    p1_found, p1_coverage, p3_found, p3_files, p4_found, p4_pairs, p7_found, p7_pieces, p8_ids, p8_round_trip, p9_containers, p9_fill, p10_found, p10_statistics, p10_rules,
 )}
 
+#: White space as in Unicode's White_Space, for patterns and for trimming.
+_SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
 SQL = {
     "p7_found": """SELECT id FROM (
   SELECT id, raw_text, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST,
     CASE WHEN strlen(raw_text) > 6000 THEN raw_text END DESC NULLS LAST) AS k FROM nodes WHERE id IS NOT NULL)
 WHERE k = 1 AND strlen(raw_text) > 6000""",
+    "p10_statistics": f"""WITH t AS (SELECT doc_id, text, coalesce(text, '') AS t FROM documents),
+l AS (SELECT *, list_filter(regexp_split_to_array(t, '\\r\\n|\\r|\\n'), lambda x: trim(x, {_quoted(quality.BLANK)}) <> '') AS l,
+  length(regexp_replace(t, '[{_SPACE}]+', '', 'g')) AS n, len(list_filter(regexp_split_to_array(t, '[{_SPACE}]+'), lambda x: x <> '')) AS w FROM t)
+SELECT doc_id, CAST(length(text) AS INTEGER) AS chars, CAST(w AS INTEGER) AS words, CAST(len(l) AS INTEGER) AS lines, CASE WHEN w > 0 THEN n / w END AS mean_word_length,
+  CASE WHEN n > 0 THEN length(regexp_replace(t, '[\\p{{L}}\\p{{N}}{_SPACE}]+', '', 'g')) / n END AS symbol_share,
+  CASE WHEN n > 0 THEN length(regexp_replace(t, '[^0-9]+', '', 'g')) / n END AS digit_share,
+  CASE WHEN len(l) > 0 THEN len(list_filter(l, lambda x: contains({_quoted(quality.ENDS)}, right(rtrim(x, {_quoted(quality.BLANK + quality.AFTER_END)}), 1)) AND rtrim(x, {_quoted(quality.BLANK + quality.AFTER_END)}) <> '')) / len(l) END AS punct_line_share,
+  CASE WHEN w > 0 THEN len(list_filter(regexp_split_to_array(lower(t), '[''’{_SPACE}]+'), lambda x: trim(x, {_quoted(quality.AROUND)}) IN ({", ".join(map(_quoted, sorted(quality._COMMON)))}))) / w END AS common_share,
+  CASE WHEN len(l) > 0 THEN w / len(l) END AS mean_line_words FROM l""",
     "p8_round_trip": "SELECT doc_id, TRUE AS same FROM documents",
 }

@@ -38,7 +38,7 @@ def test_statistics_against_python(spark):
     assert abs(r.mean_word_length - visible / len(words)) < 1e-9
     assert abs(r.symbol_share - sum(not c.isalnum() and not c.isspace() for c in t) / visible) < 1e-9
     assert abs(r.digit_share - 2 / visible) < 1e-9 and abs(r.punct_line_share - 2 / 3) < 1e-9
-    assert abs(r.common_share - sum(w.strip(".,!").lower() in quality._COMMON for w in words) / len(words)) < 1e-9
+    assert abs(r.common_share - sum(w.strip(quality.AROUND).lower() in quality._COMMON for w in words) / len(words)) < 1e-9
 
 
 def test_rules_hold_out(spark):
@@ -59,7 +59,7 @@ def test_nulls_blanks_repeats_and_empty(spark):
 
 def test_rule_induction():
     rng = np.random.default_rng(0)
-    x = rng.random((600, 8))
+    x = rng.random((600, len(quality.FEATURES)))
     y = ((x[:, 0] <= 0.3) & (x[:, 1] > 0.5)) | (x[:, 4] > 0.9)
     rules = quality.irep(x, y)
     hit = np.zeros(600, bool)
@@ -70,9 +70,15 @@ def test_rule_induction():
     assert quality.to_case([[(0, True, 0.5), (2, False, 1.0)]]) == "CASE WHEN words <= 0.5D AND symbol_share > 1.0D THEN TRUE ELSE FALSE END"
 
 
-def test_trie():
-    import re
+def test_learned_on_held_out_rows(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in documents(900)], "doc_id long, text string")
+    got = quality.learn(df)
+    assert got.held == 180 and got.rules >= 1 and got.precision >= 0.9 and got.recall >= 0.9
+    assert quality.learn(df.repartition(3)) == got
 
-    words = {"a", "an", "and", "be", "been"}
-    p = re.compile(quality._trie(frozenset(words)))
-    assert all(p.fullmatch(w) for w in words) and not p.fullmatch("ande") and not p.fullmatch("bee")
+
+def test_labels_know_no_words_of_the_statistics():
+    made_up = "Wurr tha gorlim in to blay, sno arg hef kolt em ust venn."
+    assert quality.prose_share(made_up) == 1 and not set(made_up.lower().split()) <= quality._COMMON
+    assert quality.prose_share("of the and to in a is it on as was for that with") == 0
+    assert quality.prose_share("free index top graph cheap code best tree") == 0
