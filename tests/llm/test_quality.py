@@ -78,7 +78,7 @@ def test_learned_on_held_out_rows(spark):
 
 
 def test_labels_know_no_words_of_the_statistics():
-    made_up = "Wurr tha gorlim in to blay, sno arg hef kolt em ust venn."
+    made_up = "Wurrel tha gorlim in to blayder, sno arg heffin koltred em ustra venn."
     assert quality.prose_share(made_up) == 1 and not set(made_up.lower().split()) <= quality._COMMON
     assert quality.prose_share("of the and to in a is it on as was for that with") == 0
     assert quality.prose_share("free index top graph cheap code best tree") == 0
