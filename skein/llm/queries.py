@@ -95,5 +95,5 @@ SELECT doc_id, CAST(length(text) AS INTEGER) AS chars, CAST(w AS INTEGER) AS wor
   CASE WHEN len(l) > 0 THEN len(list_filter(l, lambda x: contains({_quoted(quality.ENDS)}, right(rtrim(x, {_quoted(quality.BLANK + quality.AFTER_END)}), 1)) AND rtrim(x, {_quoted(quality.BLANK + quality.AFTER_END)}) <> '')) / len(l) END AS punct_line_share,
   CASE WHEN w > 0 THEN len(list_filter(regexp_split_to_array(lower(t), '[''’{_SPACE}]+'), lambda x: trim(x, {_quoted(quality.AROUND)}) IN ({", ".join(map(_quoted, sorted(quality._COMMON)))}))) / w END AS common_share,
   CASE WHEN len(l) > 0 THEN w / len(l) END AS mean_line_words FROM l""",
-    "p8_round_trip": "SELECT doc_id, TRUE AS same FROM documents",
+    "p8_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
 }
