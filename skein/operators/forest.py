@@ -1,12 +1,15 @@
 """Parent-child links to full hierarchies (problem 6).
 
-Weighted disjoint sets: links are range-partitioned by child, so that the links of
-one file and repository lie together; each task contracts its links with a
-disjoint-set forest that keeps every node's offset to its local root. Only
-local roots that are children in another range stay in play; they are merged by
-pointer doubling, which halves the remaining depth a round, and the local
-offsets are added at the end. Links on or above a cycle are recognised where the
-number of unresolved links, and then the image of the jump, stop to shrink.
+Weighted disjoint sets: links are range-partitioned by child, so that the links of one file and
+repository lie together; each task unites the links of its range in a forest that keeps
+every node's offset to its root. Only nodes that another range's root points at stay in play. They
+are merged hierarchically: FAN_IN neighbouring ranges are united at a time, and again, until
+nothing points out of its range or one range is left; offsets are added on the way back
+down. A cycle is closed in the range in which its last link is united, and named there.
+
+Paths are materialised by traversal along a parent index: within a range each node's parent is looked
+up until the range's own root; the paths of those roots, which are few, were put together in
+the same merges. So no path is moved but those of the roots.
 """
 
 from __future__ import annotations
@@ -14,15 +17,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.sources.tables import checkpoint
 
-#: Links that one task contracts.
-LINKS_PER_TASK = 250_000
+#: Links that one task unites, and ranges that are merged at a time.
+LINKS_PER_TASK, FAN_IN = 250_000, 8
+#: Rows of a batch.
+BATCH = 20_000
 
-_LOCAL = "node string, up string, dist long, low string, cycle string"
+_LINKS = "part long, node string, up string, dist long, low string, cycle string, parent string"
+_MERGED = "part long, node string, up string, dist long, low string, cycle string, seg array<string>"
 
 
 def links_of(edges: DataFrame, kind: str = "IMPORTS") -> DataFrame:
@@ -37,85 +44,154 @@ def links_of(edges: DataFrame, kind: str = "IMPORTS") -> DataFrame:
     )
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Local forest: for each child its local root (``up``), the links to it (``dist``) and the
-    smallest id from the child up to, not including, the root (``low``); or the smallest id of the
-    ``cycle`` that it is on or below."""
+class Forest:
+    """Weighted disjoint sets over links from a node to the one above it. ``up`` holds of a node one above it, the number of links
+    to that and the least id from the node to below it; ``rings`` the least id of the cycle that a root closes."""
+
+    def __init__(self) -> None:
+        self.up: dict[str, tuple[str, int, str]] = {}
+        self.rings: dict[str, str] = {}
+
+    def find(self, x: str) -> tuple[str, int, str | None]:
+        """The root of x, the links to it, and the least id from x to below it; the way is shortened."""
+        trail = []
+        while x in self.up:
+            trail.append(x)
+            x = self.up[x][0]
+        dist, low = 0, None
+        for y in reversed(trail):
+            _, d, least = self.up[y]
+            dist, low = dist + d, least if low is None else min(low, least)
+            self.up[y] = (x, dist, low)
+        return x, dist, low
+
+    def unite(self, x: str, above: str, dist: int, low: str) -> None:
+        """Hang the root x below another node."""
+        root, d, least = self.find(above)
+        low = low if least is None else min(low, least)
+        if root == x:
+            self.rings[x] = low
+        else:
+            self.up[x] = (root, dist + d, low)
+
+    def place(self, x: str) -> tuple[str | None, int, str | None, str | None]:
+        """``up, dist, low, cycle`` of a node that was united."""
+        root, dist, low = self.find(x)
+        if root in self.rings:
+            return None, 0, None, self.rings[root]
+        return root, dist, low, None
+
+
+def _arrow(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = {"part": pa.int64(), "dist": pa.int64(), "depth": pa.int64(), "seg": pa.list_(pa.string()), "path": pa.list_(pa.string())}
+    cols = list(zip(*rows)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.string())) for n, c in zip(names, cols)], names=names)
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _unite_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parent: dict[str, str] = {}
     for b in batches:
         parent.update(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-    done: dict[str, tuple[str | None, int, str | None, str | None]] = {}
-    for start in parent:
-        trail, seen, v = [], {}, start
-        while v in parent and v not in done and v not in seen:
-            seen[v] = len(trail)
-            trail.append(v)
-            v = parent[v]
-        if v in seen:  # a cycle closes within these links
-            ring = trail[seen[v]:]
-            low = min(ring)
-            for x in ring:
-                done[x] = (None, 0, None, low)
-            trail = trail[: seen[v]]
-        for x in reversed(trail):
-            p = parent[x]
-            if p not in done:
-                done[x] = (p, 1, x, None)
-            else:
-                up, d, low, ring_low = done[p]
-                done[x] = (up, d + 1, min(x, low) if low is not None else None, ring_low) if ring_low is None else (None, 0, None, ring_low)
-    rows = [(k, *v) for k, v in done.items()]
-    names = ["node", "up", "dist", "low", "cycle"]
-    for i in range(0, len(rows), 20_000):
-        part = rows[i : i + 20_000]
-        cols = list(zip(*part))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.int64() if n == "dist" else pa.string()) for n, c in zip(names, cols)], names=names
-        )
+    f, part = Forest(), TaskContext.get().partitionId()
+    for x, p in parent.items():
+        f.unite(x, p, 1, x)
+    rows = []
+    for x, p in parent.items():
+        rows.append((part, x, *f.place(x), p))
+        if len(rows) == BATCH:
+            yield _arrow(rows, _names(_LINKS))
+            rows = []
+    yield _arrow(rows, _names(_LINKS))
 
 
-def resolve(links: DataFrame) -> DataFrame:
-    """``node, root, depth, cycle``: root and depth for nodes of trees,
-    the smallest id of the cycle (root and depth null) for nodes on or below a cycle.
+def _merge(table: pa.Table) -> pa.Table:
+    """United rows of several ranges, with the ids between a node and the one above it."""
+    rows = table.to_pylist()
+    f, at = Forest(), {r["node"]: r for r in rows}
+    for r in rows:
+        if r["cycle"] is None:
+            f.unite(r["node"], r["up"], r["dist"], r["low"])
+        else:
+            f.rings[r["node"]] = r["cycle"]
+    out = []
+    for r in rows:
+        up, dist, low, cycle = f.place(r["node"])
+        seg = None
+        if r["seg"] is not None and cycle is None:
+            parts, x = [], r
+            while x:
+                parts.append(x["seg"])
+                x = at.get(x["up"])
+            seg = [i for p in reversed(parts) for i in p]
+        out.append((r["part"], r["node"], up, dist, low, cycle, seg))
+    return pa.Table.from_batches([_arrow(out, _names(_MERGED))])
 
-    Has one row for each child and each root. Empty links give no rows.
-    """
-    spark = links.sparkSession
-    links = checkpoint(links)
-    given = links.filter(F.col("parent").isNotNull())
-    parts = max(1, -(-given.count() // LINKS_PER_TASK), min(6, spark.sparkContext.defaultParallelism))
-    local = checkpoint(given.repartitionByRange(parts, "child").mapInArrow(_contract, _LOCAL))
-    tops = local.filter(F.col("up").isNotNull()).select(F.col("up").alias("top")).distinct()
-    lone = links.filter(F.col("parent").isNull()).select(F.col("child").alias("top"))
-    tops = tops.union(lone).distinct()
-    # local roots that are children elsewhere: the contracted forest
-    state = checkpoint(local.join(tops, local.node == tops.top, "left_semi"))
-    roots = tops.join(state.select("node"), F.col("top") == F.col("node"), "left_anti")
-    state = _double(state)
-    s = state.select(F.col("node").alias("_n"), F.col("up").alias("_u"), F.col("dist").alias("_d"), F.col("cycle").alias("_c"))
-    below = local.join(s, local.up == F.col("_n"), "left").select(
-        "node",
-        F.when(F.coalesce("cycle", "_c").isNull(), F.coalesce("_u", "up")).alias("root"),
-        F.when(F.coalesce("cycle", "_c").isNull(), F.col("dist") + F.coalesce("_d", F.lit(0))).alias("depth"),
-        F.coalesce("cycle", "_c").alias("cycle"),
+
+def _local(links: DataFrame) -> DataFrame:
+    given = checkpoint(links.filter(F.col("parent").isNotNull()))
+    parts = max(1, -(-given.count() // LINKS_PER_TASK), min(6, links.sparkSession.sparkContext.defaultParallelism))
+    return checkpoint(given.repartitionByRange(parts, "child").mapInArrow(_unite_range, _LINKS))
+
+
+def _pointed_at(rows: DataFrame) -> DataFrame:
+    """Rows of nodes that a root of another range is."""
+    tops = rows.filter(F.col("up").isNotNull()).select(F.col("up").alias("_top")).distinct()
+    return rows.join(tops, F.col("node") == F.col("_top"), "left_semi")
+
+
+def _merged(carried: DataFrame) -> DataFrame:
+    """``node, up, dist, cycle, seg`` of the carried rows, with ``up`` a root (null on or below a cycle)."""
+    levels, seg = [], carried.schema["seg"].dataType
+    while True:
+        carried = checkpoint(carried.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("long")))
+        largest = carried.groupBy("part").count().agg(F.max("count").alias("n")).first()["n"]
+        if not largest:
+            break
+        if largest > LINKS_PER_TASK and levels:
+            # ranges that hardly share their links would outgrow a task: the rest is resolved by doubling
+            levels.append(_double(carried))
+            break
+        level = checkpoint(carried.groupBy("part").applyInArrow(_merge, _MERGED))
+        levels.append(level)
+        carried = _pointed_at(level)
+    if not levels:
+        return carried.select("node", "up", "dist", "cycle", F.col("seg").cast(seg))
+    done = levels[-1].select("node", "up", "dist", "cycle", "seg")
+    for level in reversed(levels[:-1]):
+        done = checkpoint(_below(level, done))
+    return done
+
+
+def _below(rows: DataFrame, done: DataFrame) -> DataFrame:
+    """Rows whose ``up`` may be a node of done, up to the roots."""
+    d = done.select(F.col("node").alias("_n"), F.col("up").alias("_u"), F.col("dist").alias("_d"), F.col("cycle").alias("_c"), F.col("seg").alias("_s"))
+    j = rows.join(d, rows.up == F.col("_n"), "left")
+    ring = F.coalesce("cycle", "_c")
+    return j.select(
+        "node", F.when(ring.isNull(), F.coalesce("_u", "up")).alias("up"), F.when(ring.isNull(), F.col("dist") + F.coalesce("_d", F.lit(0))).otherwise(0).alias("dist"),
+        ring.alias("cycle"), F.when(F.col("_s").isNull(), F.col("seg")).otherwise(F.concat("_s", "seg")).alias("seg"),
     )
-    return below.union(roots.select(F.col("top").alias("node"), F.col("top"), F.lit(0).cast("long"), F.lit(None).cast("string")))
 
 
-def _double(state: DataFrame) -> DataFrame:
-    """Pointer doubling over the contracted links until each ends in a root or is known to run into a cycle."""
-    before = None
+def _double(rows: DataFrame) -> DataFrame:
+    """As merging, by pointer doubling, for rows of any number."""
+    state, before = rows.select("part", "node", "up", "dist", "low", "cycle", "seg"), None
     while True:
         # open: the pointer is itself an unresolved child
-        t = state.select(F.col("node").alias("_n"), F.col("up").alias("_u"), F.col("dist").alias("_d"), F.col("low").alias("_l"), F.col("cycle").alias("_c"))
-        j = state.join(t, (state.up == F.col("_n")) & state.cycle.isNull(), "left")
+        t = state.select(*[F.col(c).alias(f"_{c}") for c in ("node", "up", "dist", "low", "cycle", "seg")])
+        j = state.join(t, (state.up == F.col("_node")) & state.cycle.isNull(), "left")
         nxt = checkpoint(j.select(
-            "node",
-            F.when(F.col("_c").isNull(), F.coalesce("_u", "up")).alias("up"),
-            (F.col("dist") + F.coalesce("_d", F.lit(0))).alias("dist"),
-            F.least("low", "_l").alias("low"),
-            F.coalesce("cycle", "_c").alias("cycle"),
-            F.col("_u").isNotNull().alias("open"),
+            "part", "node",
+            F.when(F.col("_cycle").isNull(), F.coalesce("_up", "up")).alias("up"),
+            (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"),
+            F.least("low", "_low").alias("low"),
+            F.coalesce("cycle", "_cycle").alias("cycle"),
+            F.when(F.col("_seg").isNull(), F.col("seg")).otherwise(F.concat("_seg", "seg")).alias("seg"),
+            F.col("_up").isNotNull().alias("open"),
         ))
         now = nxt.agg(F.count_if("open").alias("a"), F.count_distinct(F.when(F.col("open"), F.col("up"))).alias("b")).first()
         state = nxt.drop("open")
@@ -134,28 +210,107 @@ def _double(state: DataFrame) -> DataFrame:
         if not both.filter("moved").limit(1).count():
             break
     r = ring.select(F.col("node").alias("_n"), F.col("low").alias("_low"))
-    return state.join(r, state.up == F.col("_n"), "left").select(
-        "node", F.when(F.col("_low").isNull(), F.col("up")).alias("up"), "dist", "low", F.coalesce("cycle", "_low").alias("cycle")
-    )
+    j = state.join(r, state.up == F.col("_n"), "left")
+    return checkpoint(j.select("part", "node", F.when(F.col("_low").isNull(), F.col("up")).alias("up"), "dist", "low", F.coalesce("cycle", "_low").alias("cycle"), "seg"))
+
+
+def _no_seg(rows: DataFrame) -> DataFrame:
+    return rows.select("part", "node", "up", "dist", "low", "cycle", F.lit(None).cast("array<string>").alias("seg"))
+
 
+def _tops(links: DataFrame, local: DataFrame) -> DataFrame:
+    """Roots of the whole forest: local roots and lone nodes that are no children."""
+    tops = local.select(F.col("up").alias("node")).filter(F.col("node").isNotNull()).union(links.filter(F.col("parent").isNull()).select("child")).distinct()
+    return tops.join(local.select(F.col("node").alias("_n")), F.col("node") == F.col("_n"), "left_anti")
 
-def hierarchy(links: DataFrame, resolved: DataFrame) -> DataFrame:
-    """``node, root, depth, path``: the path from the root to each node of a tree, as an array of ids.
 
-    Parent traversal by doubling: each round puts the path of the node that a path starts below before it, so the
-    number of rounds is the logarithm of the greatest depth.
+def resolve(links: DataFrame) -> DataFrame:
+    """``node, root, depth, cycle``: root and depth for nodes of trees,
+    the smallest id of the cycle (root and depth null) for nodes on or below a cycle.
+
+    Has one row for each child and each root. Empty links give no rows.
     """
-    res = resolved.filter(F.col("root").isNotNull())
-    up = links.filter(F.col("parent").isNotNull()).select(F.col("child").alias("node"), F.col("parent").alias("up"))
-    state = checkpoint(res.join(up, "node", "left").select("node", "root", "depth", "up", F.array("node").alias("path")))
-    while state.filter(F.col("up").isNotNull()).limit(1).count():
-        above = state.select(F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("path").alias("_path"))
-        state = checkpoint(
-            state.join(above, F.col("up") == F.col("_n"), "left").select(
-                "node", "root", "depth", F.col("_up").alias("up"), F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path")
-            )
-        )
-    return state.drop("up")
+    links = checkpoint(links)
+    local = _local(links)
+    every = _below(_no_seg(local), _merged(_no_seg(_pointed_at(local))))
+    below = every.select("node", F.col("up").alias("root"), F.when(F.col("cycle").isNull(), F.col("dist")).alias("depth"), "cycle")
+    return below.union(_tops(links, local).select("node", F.col("node"), F.lit(0).cast("long"), F.lit(None).cast("string")))
+
+
+def _trace(out: str):
+    """Walks along the parent index of a range, for rows sorted by range and, in it, ``kind``: 0 the paths of roots from elsewhere, 1 the
+    links, 2 nodes that are asked for. Gives segments of those asked for (out is ``seg``) or the paths of all (``path``)."""
+    names = ["part", "node", "seg"] if out == "seg" else ["node", "root", "depth", "path"]
+
+    def run(batches):
+        part, parent, heads, rows = None, {}, {}, []
+
+        def walk(x: str) -> list[str] | None:
+            seg = []
+            while x in parent:
+                seg.append(x)
+                x = parent[x]
+            if out == "seg":
+                return seg[::-1]
+            head = heads.get(x)
+            return None if head is None else head + seg[::-1]
+
+        def paths():
+            for x in parent if out == "path" else ():
+                if (p := walk(x)) is not None:
+                    yield (x, p[0], len(p) - 1, p)
+
+        for b in batches:
+            for g, kind, node, up, path in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if g != part:
+                    for r in paths():
+                        rows.append(r)
+                        if len(rows) == BATCH:
+                            yield _arrow(rows, names)
+                            rows = []
+                    part, parent, heads = g, {}, {}
+                if kind == 0:
+                    heads[node] = path
+                elif kind == 1:
+                    parent[node] = up
+                else:
+                    rows.append((g, node, walk(node)))
+            if len(rows) >= BATCH:
+                yield _arrow(rows, names)
+                rows = []
+        for r in paths():
+            rows.append(r)
+            if len(rows) == BATCH:
+                yield _arrow(rows, names)
+                rows = []
+        yield _arrow(rows, names)
+
+    return run
+
+
+def _by_range(links: DataFrame, more: DataFrame) -> DataFrame:
+    """Both as ``part, kind, node, up, path``, each range in one task."""
+    every = links.select("part", F.lit(1).alias("kind"), "node", F.col("parent").alias("up"), F.lit(None).cast("array<string>").alias("path")).union(more)
+    return every.repartition("part").sortWithinPartitions("part", "kind")
+
+
+def hierarchy(links: DataFrame) -> DataFrame:
+    """``node, root, depth, path``: the path from the root to each node of a tree, as an array of ids. Nodes on or below a cycle have none."""
+    links = checkpoint(links)
+    local = _local(links)
+    sound = local.filter(F.col("cycle").isNull())
+    none = F.lit(None).cast("array<string>")
+    carried = checkpoint(_pointed_at(local))
+    asked = carried.filter(F.col("cycle").isNull()).select("part", F.lit(2), "node", F.lit(None).cast("string"), none)
+    segs = _by_range(sound, asked).mapInArrow(_trace("seg"), "part long, node string, seg array<string>")
+    carried = carried.join(segs, ["part", "node"], "left").select("part", "node", "up", "dist", "low", "cycle", "seg")
+    merged = checkpoint(_merged(carried)).filter(F.col("cycle").isNull())
+    merged = merged.select(F.col("node").alias("_n"), F.concat(F.array("up"), "seg").alias("_path"))
+    roots = checkpoint(_tops(links, local))
+    heads = sound.select("part", "up").distinct().join(merged, F.col("up") == F.col("_n"), "left").join(roots.select(F.col("node").alias("_r")), F.col("up") == F.col("_r"), "left")
+    heads = heads.filter("_path IS NOT NULL OR _r IS NOT NULL").select("part", F.lit(0), "up", F.lit(None).cast("string"), F.coalesce("_path", F.array("up")))
+    out = _by_range(sound, heads).mapInArrow(_trace("path"), "node string, root string, depth long, path array<string>")
+    return out.union(roots.select("node", F.col("node").alias("root"), F.lit(0).cast("long"), F.array("node")))
 
 
 def descendants(paths: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 Keys are range-partitioned on their 64-bit hash, which is uniform, so equal-width
 ranges are balanced without sampling. Each range holds its parents as one sorted
 array; the distinct reference keys of the range are probed by a vectorised
-binary search, and every hit is verified on the key itself. Only the keys that
+binary search, and all hits are verified on the keys in one comparison. Only the keys that
 miss are joined back to the references, so a key that holds a third of all
 references is probed once.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +31,10 @@ def _probe(parents: pa.Table, refs: pa.Table) -> pa.Table:
     end = np.searchsorted(have, want, "right")
     miss = at == end
     found = np.flatnonzero(~miss)
-    if len(found):
-        rk = refs.column("key").to_pylist()
-        pk = parents.column("key").to_pylist()
-        for i in found:
-            miss[i] = all(pk[order[j]] != rk[i] for j in range(at[i], end[i]))
+    rk, pk = refs.column("key"), parents.column("key")
+    same = pc.equal(rk.take(pa.array(found)), pk.take(pa.array(order[at[found]]))).to_numpy(zero_copy_only=False)
+    for i in found[~same.astype(bool)]:  # different keys of one hash: the other parents of that hash
+        miss[i] = rk[i] not in [pk[j] for j in order[at[i] + 1 : end[i]]]
     return refs.select(["key"]).filter(pa.array(miss))
 
 
@@ -117,7 +117,7 @@ def orphan_references(
             .select(_compound(F.lit("s"), "repo_id", slash("file_path"), "symbol_name"))
         )
     )
-    missing = missing_keys(parents, refs, ranges_for(edges, nodes))
+    missing = missing_keys(parents, refs, ranges_for(edges, nodes, observations, files))
     # the references were not deduplicated yet: each orphan once, at its first time
     return (
         refs.join(missing, "key", "left_semi")

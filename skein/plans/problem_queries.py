@@ -38,28 +38,27 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return a.union(b).select("field_name", "key_value")
 
 
-def _resolved(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    links = forest.links_of(table(spark, sf, "edges"))
-    return links, forest.resolve(links)
+def _links(spark: SparkSession, sf: str) -> DataFrame:
+    return forest.links_of(table(spark, sf, "edges"))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _resolved(spark, sf)[1].select(F.col("node").alias("node_id"), F.coalesce("root", "cycle").alias("top_id"))
+    return forest.resolve(_links(spark, sf)).select(F.col("node").alias("node_id"), F.coalesce("root", "cycle").alias("top_id"))
 
 
 def p6_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return forest.hierarchy(*_resolved(spark, sf)).select(
+    return forest.hierarchy(_links(spark, sf)).select(
         F.col("node").alias("node_id"), F.col("root").alias("root_id"), "depth", F.array_join("path", " > ").alias("path")
     )
 
 
 def p6_descendants(spark: SparkSession, sf: str) -> DataFrame:
-    d = forest.descendants(forest.hierarchy(*_resolved(spark, sf)))
+    d = forest.descendants(forest.hierarchy(_links(spark, sf)))
     return d.select(F.col("node").alias("node_id"), F.col("descendant").alias("descendant_id"), "distance")
 
 
 def p6_cycles(spark: SparkSession, sf: str) -> DataFrame:
-    return forest.cycles(_resolved(spark, sf)[1]).select(F.col("cycle").alias("cycle_id"), "nodes")
+    return forest.cycles(forest.resolve(_links(spark, sf))).select(F.col("cycle").alias("cycle_id"), "nodes")
 
 
 QUERIES = {

@@ -103,7 +103,12 @@ def test_forest_against_walks(spark, seed, monkeypatch):
     links = [(f"n{i:03d}", f"n{(rng.randrange(i) if i and rng.random() < 0.8 else max(0, i - 1)) if rng.random() < 0.97 else rng.randrange(n):03d}") for i in range(1, n)]
     df = spark.createDataFrame([(p, c, "imports", None) for c, p in links], EDGES)
     got = {r.node: (r.root, r.depth, r.cycle) for r in forest.resolve(forest.links_of(df)).collect()}
-    assert got == _brute(links)
+    want = _brute(links)
+    assert got == want
+    paths = {r.node: (r.root, r.depth, r.path) for r in forest.hierarchy(forest.links_of(df)).collect()}
+    assert {k: v[:2] for k, v in paths.items()} == {k: v[:2] for k, v in want.items() if v[0]}
+    up = dict(links)
+    assert all(p[0] == r and p[-1] == k and all(up[b] == a for a, b in zip(p, p[1:])) for k, (r, _, p) in paths.items())
 
 
 def test_chain_across_ranges_and_a_long_cycle(spark, monkeypatch):
@@ -113,6 +118,8 @@ def test_chain_across_ranges_and_a_long_cycle(spark, monkeypatch):
     df = spark.createDataFrame([(p, c, "IMPORTS", None) for c, p in chain + ring] + [(None, "lone", "IMPORTS", None), ("x", None, "IMPORTS", None), ("self", "self", "IMPORTS", None)], EDGES)
     res = forest.resolve(forest.links_of(df))
     got = {r.node: (r.root, r.depth, r.cycle) for r in res.collect()}
+    paths = {r.node: r.path for r in forest.hierarchy(forest.links_of(df)).collect()}
+    assert paths[chain[-1][0]] == [chain[0][1]] + [c for c, _ in chain] and len(paths) == 102
     want = _brute(chain + ring) | {"lone": ("lone", 0, None), "self": (None, None, "self")}
     assert got == want
 
@@ -121,13 +128,22 @@ def test_paths_descendants_cycles(spark):
     df = spark.createDataFrame([("a", "b", "IMPORTS", None), ("b", "c", "IMPORTS", None), ("a", "d", "IMPORTS", None), ("y", "x", "IMPORTS", None), ("x", "y", "IMPORTS", None)], EDGES)
     links = forest.links_of(df)
     res = forest.resolve(links)
-    paths = forest.hierarchy(links, res)
+    paths = forest.hierarchy(links)
     assert {r.node: r.path for r in paths.collect()} == {"a": ["a"], "b": ["a", "b"], "c": ["a", "b", "c"], "d": ["a", "d"]}
     assert rows(forest.descendants(paths)) == [("a", "b", 1), ("a", "c", 2), ("a", "d", 1), ("b", "c", 1)]
     assert rows(forest.cycles(res)) == [("x", 2)]
 
 
+def test_ranges_that_outgrow_a_task_are_doubled(spark, monkeypatch):
+    monkeypatch.setattr(forest, "LINKS_PER_TASK", 3)
+    monkeypatch.setattr(forest, "FAN_IN", 2)
+    links = [(f"c{(i * 37) % 101:03d}", f"c{((i - 1) * 37) % 101:03d}") for i in range(1, 101)] + [(f"r{(i * 7) % 30:02d}", f"r{((i + 1) * 7) % 30:02d}") for i in range(30)]
+    df = spark.createDataFrame([(p, c, "IMPORTS", None) for c, p in links], EDGES)
+    assert {r.node: (r.root, r.depth, r.cycle) for r in forest.resolve(forest.links_of(df)).collect()} == _brute(links)
+    assert {r.node: len(r.path) for r in forest.hierarchy(forest.links_of(df)).collect()} == {k: v[1] + 1 for k, v in _brute(links).items() if v[0]}
+
+
 def test_no_links(spark):
     links = forest.links_of(spark.createDataFrame([], EDGES))
     res = forest.resolve(links)
-    assert rows(res) == [] and rows(forest.hierarchy(links, res)) == []
+    assert rows(res) == [] and rows(forest.hierarchy(links)) == []
