@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skein.llm import docs, packing, quality, sources, spans, splitting, tokens
 from skein.sources.tables import table
@@ -36,6 +37,11 @@ def p7_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split_nodes(table(spark, sf, "nodes"))
 
 
+def p7_whole(spark: SparkSession, sf: str) -> DataFrame:
+    r = splitting.reassembled(p7_pieces(spark, sf))
+    return r.select("id", "digest", F.greatest(F.col("largest") - splitting.LIMIT, F.lit(0)).alias("bytes_over"), (F.col("pieces") >= 2).alias("cut"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_pieces(spark, sf).filter("piece = 1").select("id")
 
@@ -70,7 +76,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_coverage, p3_found, p3_files, p4_found, p4_pairs, p7_found, p7_pieces, p8_ids, p8_round_trip, p9_containers, p9_fill, p10_found, p10_statistics, p10_rules,
+    p1_found, p1_coverage, p3_found, p3_files, p4_found, p4_pairs, p7_found, p7_pieces, p7_whole, p8_ids, p8_round_trip, p9_containers, p9_fill, p10_found, p10_statistics, p10_rules,
 )}
 
 #: White space as in Unicode's White_Space, for patterns and for trimming.
@@ -81,11 +87,13 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-SQL = {
-    "p7_found": """SELECT id FROM (
-  SELECT id, raw_text, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST,
+_LONG = """FROM (SELECT id, raw_text, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST,
     CASE WHEN strlen(raw_text) > 6000 THEN raw_text END DESC NULLS LAST) AS k FROM nodes WHERE id IS NOT NULL)
-WHERE k = 1 AND strlen(raw_text) > 6000""",
+WHERE k = 1 AND strlen(raw_text) > 6000"""
+
+SQL = {
+    "p7_found": f"SELECT id {_LONG}",
+    "p7_whole": f"SELECT id, md5(raw_text) AS digest, CAST(0 AS BIGINT) AS bytes_over, TRUE AS cut {_LONG}",
     "p10_statistics": f"""WITH t AS (SELECT doc_id, text, coalesce(text, '') AS t FROM documents),
 l AS (SELECT *, list_filter(regexp_split_to_array(t, '\\r\\n|\\r|\\n'), lambda x: trim(x, {_quoted(quality.BLANK)}) <> '') AS l,
   length(regexp_replace(t, '[{_SPACE}]+', '', 'g')) AS n, len(list_filter(regexp_split_to_array(t, '[{_SPACE}]+'), lambda x: x <> '')) AS w FROM t)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 from datetime import datetime
 
 import pytest
@@ -52,11 +53,38 @@ def test_deep_nesting_is_no_recursion_problem():
     check(data, splitting.pieces(data, 200, 20), 200, 20)
 
 
+def test_headings_are_kept_with_their_sections():
+    text = "".join(f"# Part {i}\n\n" + "".join(f"## Point {i}.{k}\n\nSome words here.\n\n- one\n- two\n\n" for k in range(3)) for i in range(20))
+    data = text.encode()
+    cuts = splitting.pieces(data, 600, 40, True)
+    check(data, cuts, 600, 40)
+    assert all(data[hi:].startswith(b"# Part") for _, hi in cuts[:-1])
+    tight = splitting.pieces(data, 150, 10, True)
+    check(data, tight, 150, 10)
+    assert all(data[hi:].startswith((b"# Part", b"## Point")) for _, hi in tight[:-1])
+
+
+def test_siblings_merge_before_their_parents():
+    inner = "    fn a{0}() {{\n" + "        call();\n" * 4 + "    }}\n"
+    text = "mod one {\n" + "".join(inner.format(i) for i in range(8)) + "}\n" + "fn after() {\n    x();\n}\n" * 3
+    data = text.encode()
+    cuts = splitting.pieces(data, 420, 20)
+    check(data, cuts, 420, 20)
+    assert all(data[hi:].lstrip().startswith((b"fn", b"mod", b"}")) for _, hi in cuts[:-1])
+
+
+def test_reassembled(spark):
+    text = "é = 1\n" * 3000
+    df = spark.createDataFrame([("a", datetime(2024, 1, 1), "py", 1, 3000, text)], "id string, ingested_at timestamp, language string, start_line long, end_line long, raw_text string")
+    r = splitting.reassembled(splitting.split_nodes(df)).first()
+    assert r.largest <= 6000 and r.pieces == 4 and r.digest == hashlib.md5(text.encode()).hexdigest()
+
+
 def test_table(spark):
     big, small = "a = 1\r\n" * 2000, "a = 1\n"
     t = [datetime(2024, 1, d) for d in (1, 2)]
     rows = [("new", t[1], 11, 2010, big), ("new", t[0], 1, 1, small), ("old", t[0], 1, 2000, big), ("old", t[1], 1, 1, small), ("nul", t[0], 1, 2000, big), ("nul", t[1], 1, 1, None), (None, t[0], 1, 1, big), ("lines", None, None, None, big), ("lines", None, None, None, big)]
-    df = spark.createDataFrame(rows, "id string, ingested_at timestamp, start_line long, end_line long, raw_text string").withColumn("text", F.lit(1)).withColumn("piece", F.lit(2))
+    df = spark.createDataFrame(rows, "id string, ingested_at timestamp, start_line long, end_line long, raw_text string").withColumn("language", F.lit(None).cast("string")).withColumn("text", F.lit(1)).withColumn("piece", F.lit(2))
     out = splitting.split_nodes(df).collect()
     assert {r.id for r in out} == {"new", "lines"}
     new = sorted((r for r in out if r.id == "new"), key=lambda r: r.piece)
