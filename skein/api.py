@@ -98,7 +98,8 @@ class Pipeline:
 
     def batch(self, queries: list[Query], limit: int = render.RESPONSE_BYTES) -> list[tuple[int, str]]:
         """The rendered answer of each of 1 to 20 queries: an equal query refers to the first, an error stays within its
-        section, and the sections share a byte budget, first come first served."""
+        section, and the sections share a byte budget, first come first served. A section that the budget cuts says so, and
+        those after it say that they were left out; every query has a section."""
         if not 1 <= len(queries) <= 20:
             raise ValueError("invalid number of queries")
         seen: dict[Query, int] = {}
@@ -107,17 +108,17 @@ class Pipeline:
         for i, q in enumerate(queries, 1):
             if q in seen:
                 text = f"Same as {seen[q]}"
+            elif left <= 0:
+                text = "[left out: the budget is used]"
             else:
                 seen[q] = i
                 try:
-                    text = render.to_text(self.run(q), max(left, 0))
+                    text = render.to_text(self.run(q), left)
                 except (LookupError, ValueError) as e:
                     self.failures.append((q.intent, str(e)))
                     text = f"error: {e}"
             left -= len(text.encode())
             out.append((i, text))
-            if left <= 0:
-                break
         return out
 
     def report(self, query: Query) -> str:

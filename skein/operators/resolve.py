@@ -75,19 +75,23 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def apply_changes(nodes: DataFrame, edges: DataFrame, files: DataFrame, parsed: DataFrame, parsed_files: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """New nodes, edges and files after some files were parsed anew and some removed (``repo_id, file_path``).
+    """New nodes, CALLS edges and files after some files were parsed anew and some removed (``repo_id, file_path``); nodes have ``callees``.
 
-    Symbols of those files are replaced; edges out of them are built anew, and edges into symbols that are gone are dropped.
-    Only the changed files' calls are resolved, against all nodes.
+    Symbols of those files are replaced, and so are the edges of every symbol that lies in them or calls a name that they
+    defined before or define now, as its target may be gone, new, or no longer the only one. All other
+    edges stay, so the result is that of resolving everything anew.
     """
+    from skein.extract.table import callee_rows
+
     touched = parsed_files.select("repo_id", "file_path").union(removed.select("repo_id", "file_path")).distinct()
     cols = nodes.columns
-    stale = nodes.join(touched, ["repo_id", "file_path"], "left_semi").select("id")
+    stale = nodes.join(touched, ["repo_id", "file_path"], "left_semi")
     new_nodes = nodes.join(touched, ["repo_id", "file_path"], "left_anti").select(cols).unionByName(parsed.select(cols))
-    from skein.extract.table import callee_rows
-
-    calls = resolve_calls(callee_rows(parsed), new_nodes)
-    kept = edges.join(stale, edges.source_id == stale.id, "left_anti")
-    kept = kept.join(new_nodes.select("id"), kept.target_id == F.col("id"), "left_semi")
+    names = stale.select("repo_id", F.col("symbol_name").alias("callee")).union(parsed.select("repo_id", "symbol_name")).distinct()
+    every = callee_rows(new_nodes)
+    again = every.join(names, ["repo_id", "callee"], "left_semi").select("source_id").union(parsed.select("id")).distinct()
+    calls = resolve_calls(every.join(again, "source_id", "left_semi"), new_nodes)
+    old = again.union(stale.select("id")).distinct()
+    kept = edges.join(old, "source_id", "left_anti").select("source_id", "target_id", "kind")
     new_files = files.join(touched, ["repo_id", "file_path"], "left_anti").unionByName(parsed_files.select(files.columns))
-    return new_nodes, kept.select("source_id", "target_id", "kind").union(calls).distinct(), new_files
+    return new_nodes, kept.union(calls).distinct(), new_files

@@ -65,7 +65,8 @@ def test_errors_and_batches(built):
     out = p.batch([Query("find_symbol", target="helper"), Query("read_node", "one", "none"), Query("find_symbol", target="helper"), Query("find_symbol", target="helper", depth=2)])
     assert "helper" in out[0][1] and out[1][1].startswith("error: none not found") and out[2][1] == "Same as 1" and "helper" in out[3][1]
     assert p.failures[-1][0] == "read_node"
-    assert len(p.batch([Query("find_symbol", target="helper"), Query("find_symbol", target="parse")], limit=10)) == 1
+    cut = p.batch([Query("find_symbol", target="helper"), Query("find_symbol", target="parse")], limit=10)
+    assert [i for i, _ in cut] == [1, 2] and cut[0][1].endswith("[truncated]") and cut[1][1].startswith("[left out")
     with pytest.raises(ValueError):
         p.batch([])
 

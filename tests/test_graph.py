@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from datetime import datetime
 
+import pytest
+
 from skein.operators import capsule, graph, memory, packet, resolve, search
 
 COLS = "id string, repo_id string, file_path string, language string, symbol_name string, symbol_type string, source_start_byte long, source_end_byte long, start_line long, start_column long, end_line long, end_column long"
@@ -205,24 +207,44 @@ def test_changes(spark):
     assert rows(resolve.vanished(ids(spark, "a", "b", "b"), ids(spark, "b"))) == [("a",)]
 
 
-def test_incremental_apply_equals_rebuild(spark):
+@pytest.mark.parametrize("seed", range(2))
+def test_incremental_apply_equals_rebuild(spark, seed):
+    from skein.plans import ingest
+
+    rng = random.Random(seed)
+    names = ["f", "g", "h", "k", "m"]
+
+    def source():
+        head = "from other import " + rng.choice(names) + "\n" if rng.random() < 0.5 else ""
+        return head + "\n" * rng.randrange(3) + "".join(f"def {x}():\n    {rng.choice(names)}()\n    {rng.choice(names)}()\n\n" for x in rng.sample(names, rng.randrange(1, 4)))
+
+    def scan(files):
+        rows_ = [(r, p, "py", len(t), 1, t) for (r, p), t in files.items()]
+        return spark.createDataFrame(rows_, "repo_id string, file_path string, language string, size long, mtime_ns long, content string")
+
+    v1 = {(r, f"{p}.py"): source() for r in ("r", "s") for p in "abcd"}
+    v2 = dict(v1)
+    for key in rng.sample(sorted(v1), 3):
+        v2[key] = source()
+    del v2[rng.choice(sorted(v2))]
+    v2["r", "new.py"] = source()
+    got, changes = ingest.ingest_changes(ingest.ingest(scan(v1)), scan(v2))
+    want = ingest.ingest(scan(v2))
+    assert {r.status for r in changes.collect()} == {"added", "changed", "removed", "unchanged"}
+    assert rows(got.edges) == rows(want.edges) and any(r.kind == "IMPORTS" for r in got.edges.collect()) | any(r.kind == "CALLS" for r in got.edges.collect())
+    assert rows(got.nodes.select("id")) == rows(want.nodes.select("id")) and rows(got.files.select("repo_id", "file_path")) == rows(want.files.select("repo_id", "file_path"))
+
+
+def test_a_moved_target_keeps_its_callers(spark):
     from skein.extract.table import callee_rows, extract_symbols
 
-    def build(files):
-        df = spark.createDataFrame(files, "repo_id string, file_path string, content string")
-        s = extract_symbols(df)
-        return s, resolve.resolve_calls(callee_rows(s), s)
-
-    v1 = [("r", "a.py", "def f():\n    g()\n"), ("r", "b.py", "def g():\n    h()\n\ndef h():\n    pass\n"), ("r", "c.py", "def k():\n    pass\n")]
-    v2 = [("r", "a.py", "def f():\n    g()\n"), ("r", "b.py", "\ndef g():\n    k2()\n\ndef h():\n    pass\n")]
-    s1, e1 = build(v1)
-    files = lambda v: spark.createDataFrame([(r, p, t) for r, p, t in v], "repo_id string, file_path string, content_hash string")
-    parsed = extract_symbols(spark.createDataFrame(v2[1:], "repo_id string, file_path string, content string"))
-    n, e, f = resolve.apply_changes(s1, e1, files(v1), parsed, files(v2[1:]), spark.createDataFrame([("r", "c.py")], "repo_id string, file_path string"))
-    s2, e2 = build(v2)
-    assert {r.id for r in n.collect()} == {r.id for r in s2.collect()} and {r.file_path for r in f.collect()} == {"a.py", "b.py"}
-    # the unchanged caller isn't resolved anew: its edge to the moved symbol is gone until its own file changes
-    assert rows(e) == [] and [r[0].split(":")[3] for r in rows(e2)] == ["f"]
+    build = lambda v: extract_symbols(spark.createDataFrame(v, "repo_id string, file_path string, content string"))
+    files = lambda v: spark.createDataFrame(v, "repo_id string, file_path string, content_hash string")
+    v1 = [("r", "a.py", "def f():\n    g()\n"), ("r", "b.py", "def g():\n    pass\n")]
+    moved = [("r", "b.py", "\n\ndef g():\n    pass\n")]
+    s1 = build(v1)
+    _, e, _ = resolve.apply_changes(s1, resolve.resolve_calls(callee_rows(s1), s1), files(v1), build(moved), files(moved), spark.createDataFrame([], "repo_id string, file_path string"))
+    assert rows(e) == [("r:a.py:function:f:0", "r:b.py:function:g:2", "CALLS")]
 
 
 def test_capsules_traces_and_maps(spark):

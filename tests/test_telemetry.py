@@ -116,6 +116,8 @@ def test_render(spark):
     assert render.to_markdown(df) == "| n | t |\n|---|---|\n| 1 | a\\|b c |\n| 2 |  |"
     assert json.loads(render.to_json(df))[0] == {"n": 1, "t": "a|b\nc"}
     assert render.to_text(df, 3).endswith("[truncated]")
+    many = df.sparkSession.range(6000)
+    assert len(json.loads(render.to_json(many))) == 6000 and render.to_markdown(many).count("\n") == 6001 and render.to_text(many).count("\n") == 5999
 
 
 def test_context_needs_a_filter(spark):
