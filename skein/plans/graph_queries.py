@@ -81,7 +81,7 @@ def impact_hubs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dependency_graph(spark: SparkSession, sf: str) -> DataFrame:
-    """What its SQL says: each direction alone, ranked by depth. The walk with one visited set is dependency_walk."""
+    """Each direction alone, ranked by depth. The walk with one visited set is dependency_walk."""
     n, e = _graph(spark, sf)
     return graph.nearest_by_direction(_hubs(n, e), n, e)
 
@@ -352,6 +352,38 @@ def _walk(name: str, frm: str, to: str, depth: int) -> str:
   JOIN {name}_d b ON b.pivot_id = d.pivot_id AND b.id = e.{frm} AND b.depth = d.depth - 1 WHERE d.depth > 0 GROUP BY 1, 2, 3)"""
 
 
+def _queue(k: int, way: int, depth: int, front: str, visited: str) -> str:
+    """One level of the breadth-first walk: links met in queue order, new nodes admitted up to 200 in all, entries."""
+    frm, to = ("source_id", "target_id") if way else ("target_id", "source_id")
+    return f"""met{k} AS (SELECT f.pivot_id, f.id AS parent_id, f.seq AS parent, e.kind, n.id, n.symbol_name, n.file_path,
+  row_number() OVER (PARTITION BY f.pivot_id ORDER BY f.seq, e.kind, n.symbol_name NULLS LAST, n.file_path NULLS LAST, n.id) AS o
+  FROM {front} f JOIN e ON e.{frm} = f.id JOIN cur n ON n.id = e.{to}),
+new{k} AS (SELECT pivot_id, id, o, seq, seq + (SELECT count(*) FROM {visited} v WHERE v.pivot_id = x.pivot_id) <= 200 AS room FROM (
+  SELECT pivot_id, id, min(o) AS o, row_number() OVER (PARTITION BY pivot_id ORDER BY min(o)) AS seq FROM met{k} m
+  WHERE NOT EXISTS (SELECT 1 FROM {visited} v WHERE v.pivot_id = m.pivot_id AND v.id = m.id) GROUP BY pivot_id, id) x),
+front{k} AS (SELECT pivot_id, id, o, seq FROM new{k} WHERE room),
+seen{k} AS (SELECT pivot_id, id FROM {visited} UNION ALL SELECT pivot_id, id FROM front{k}),
+entry{k} AS (SELECT m.pivot_id, {way} AS way, {depth} AS depth, m.o, m.parent_id, m.kind, m.id, f.o IS NULL OR f.o <> m.o AS already_seen
+  FROM met{k} m SEMI JOIN seen{k} s ON s.pivot_id = m.pivot_id AND s.id = m.id LEFT JOIN front{k} f ON f.pivot_id = m.pivot_id AND f.id = m.id)"""
+
+
+_QUEUE = ", " + ", ".join([
+    "start AS (SELECT id AS pivot_id, id, 0 AS seq FROM hubs)", _queue(1, 0, 1, "start", "start"), _queue(2, 0, 2, "front1", "seen1"),
+    _queue(3, 1, 1, "start", "seen2"), _queue(4, 1, 2, "front3", "seen3"),
+    """entries AS (SELECT pivot_id, CASE way WHEN 0 THEN 'callers' ELSE 'callees' END AS direction, CAST(depth AS BIGINT) AS depth,
+  CAST(row_number() OVER (PARTITION BY pivot_id ORDER BY way, depth, o) AS BIGINT) AS position, id, kind, parent_id, already_seen
+  FROM (SELECT * FROM entry1 UNION ALL SELECT * FROM entry2 UNION ALL SELECT * FROM entry3 UNION ALL SELECT * FROM entry4))""",
+    """walk AS (SELECT pivot_id, CAST(count(*) AS BIGINT) AS nodes,
+  CAST((SELECT count(*) FROM met1 m WHERE m.pivot_id = s.pivot_id) + (SELECT count(*) FROM met2 m WHERE m.pivot_id = s.pivot_id)
+    + (SELECT count(*) FROM met3 m WHERE m.pivot_id = s.pivot_id) + (SELECT count(*) FROM met4 m WHERE m.pivot_id = s.pivot_id) AS BIGINT) AS edges,
+  EXISTS (SELECT 1 FROM (SELECT * FROM new1 UNION ALL SELECT * FROM new2 UNION ALL SELECT * FROM new3 UNION ALL SELECT * FROM new4) n
+    WHERE n.pivot_id = s.pivot_id AND NOT room) AS truncated FROM seen4 s GROUP BY pivot_id)""",
+]) + "\n"
+
+#: The FNV-1a hash of a text's bytes, as 16 hexadecimal digits.
+_FNV = """lpad(lower(hex(CAST(list_reduce(list_prepend(CAST(14695981039346656037 AS UHUGEINT), list_transform(regexp_extract_all(hex(encode({0})), '..'),
+  lambda x: CAST('0x' || x AS UHUGEINT))), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) AS UBIGINT))), 16, '0')"""
+
 _CATEGORY = """CASE WHEN list_contains(p, 'controllers') THEN 'controllers' WHEN list_contains(p, 'jobs') THEN 'jobs' WHEN list_contains(p, 'services') THEN 'services'
   WHEN list_contains(p, 'models') THEN 'models' WHEN list_contains(p, 'tests') OR list_contains(p, 'spec') THEN 'tests' ELSE 'other' END"""
 
@@ -396,6 +428,27 @@ SELECT pivot_id, id, CAST(depth AS BIGINT) AS depth, kind, count(*) OVER (PARTIT
 u AS (SELECT *, 0 AS way FROM a UNION ALL SELECT *, 1 FROM b),
 n AS (SELECT u.*, row_number() OVER (PARTITION BY pivot_id ORDER BY way, depth, kind, symbol_name NULLS LAST, file_path NULLS LAST, u.id) AS position FROM u JOIN cur ON cur.id = u.id)
 SELECT pivot_id, CASE WHEN way = 0 THEN 'callers' ELSE 'callees' END AS direction, CAST(depth AS BIGINT) AS depth, CAST(position AS BIGINT) AS position, id, kind FROM n WHERE position < 200""",
+    "dependency_walk": _CUR + _QUEUE + "SELECT * FROM entries JOIN walk USING (pivot_id)",
+    "class_map": _CUR
+    + _QUEUE
+    + f""", near AS (SELECT h.id AS pivot_id, target_id AS id FROM hubs h JOIN e ON source_id = h.id UNION SELECT h.id, source_id FROM hubs h JOIN e ON target_id = h.id)
+SELECT h.id AS pivot_id, 'file' AS part, m.id AS key, CAST(0 AS BIGINT) AS value FROM hubs h JOIN cur c ON c.id = h.id JOIN cur m ON m.repo_id = c.repo_id AND m.file_path = c.file_path
+UNION ALL SELECT pivot_id, direction, id, depth FROM entries WHERE NOT already_seen
+UNION ALL SELECT pivot_id, 'category', {_CATEGORY}, CAST(count(*) AS BIGINT) FROM (
+  SELECT DISTINCT pivot_id, file_path, string_split(lower(file_path), '/') AS p FROM near JOIN cur ON cur.id = near.id) GROUP BY 1, 3""",
+    "greedy_budget": """WITH o AS (SELECT DISTINCT id, repo_id, "timestamp", observation_text FROM observations WHERE repo_id IS NOT NULL),
+c AS (SELECT *, CAST((strlen(coalesce(observation_text, '')) + 3) // 4 AS BIGINT) AS cost, row_number() OVER (PARTITION BY repo_id ORDER BY "timestamp" DESC NULLS LAST, id DESC) AS position FROM o),
+k AS (SELECT repo_id, unnest(list_reduce(list_prepend({'used': CAST(0 AS BIGINT), 'kept': CAST([] AS BIGINT[])}, list({'used': cost, 'kept': [position]} ORDER BY position)),
+  lambda a, x: CASE WHEN a.used + x.used <= 200 THEN {'used': a.used + x.used, 'kept': list_concat(a.kept, x.kept)} ELSE a END).kept) AS position FROM c GROUP BY 1)
+SELECT repo_id, id, CAST(position AS BIGINT) AS position, cost FROM c JOIN k USING (repo_id, position)""",
+    "content_hash": _CUR + f"SELECT id, CASE WHEN raw_text IS NOT NULL THEN {_FNV.format('raw_text')} END AS content_hash FROM cur",
+    "observation_staleness": _CUR
+    + f""", o AS (SELECT DISTINCT id, repo_id, symbol_name, replace(filepath, '\\', '/') AS file_path, last_known_hash, coalesce(is_stale, FALSE) AS is_stale FROM observations),
+h AS (SELECT repo_id, file_path, symbol_name, min(h) AS lo, max(h) AS hi FROM (
+  SELECT repo_id, file_path, symbol_name, {_FNV.format('raw_text')} AS h FROM cur SEMI JOIN o USING (repo_id, file_path, symbol_name) WHERE raw_text IS NOT NULL) GROUP BY 1, 2, 3)
+SELECT o.id, o.repo_id, o.symbol_name, o.file_path, o.is_stale OR coalesce(lo <> last_known_hash OR hi <> last_known_hash, FALSE)
+  OR NOT EXISTS (SELECT 1 FROM f WHERE f.repo_id = o.repo_id AND f.file_path = o.file_path) AS is_stale
+FROM o LEFT JOIN h ON h.repo_id = o.repo_id AND h.file_path = o.file_path AND h.symbol_name = o.symbol_name""",
     "dangling_edges": _CUR
     + "SELECT kind, CAST(count(*) AS BIGINT) AS edges, CAST(count(*) - coalesce((SELECT count(*) FROM v WHERE v.kind = e.kind), 0) AS BIGINT) AS dangling FROM e GROUP BY kind",
     "resolve_candidates": _CUR
