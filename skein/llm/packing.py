@@ -102,3 +102,16 @@ def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         "containers", "tokens", F.ceil(F.col("tokens") / capacity).alias("least"),
         F.when(F.col("containers") > 0, 1 - F.col("tokens") / (F.col("containers") * capacity)).alias("unused"),
     )
+
+
+def placement(packed: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
+    """``key, missing_parts, tokens_over, whole_if_it_fits`` of each item: parts that its numbers and places say are missing, how many tokens its
+    fullest container holds beyond the capacity, and whether it is in one part unless it alone exceeds that. Keys are unique."""
+    used = packed.groupBy("container_id").agg(F.sum("tokens").alias("used"))
+    j = packed.join(used, "container_id").groupBy(key).agg(
+        F.count("*").alias("n"), F.max("part").alias("last"), F.sum("tokens").alias("size"), F.max(F.col("start") + F.col("tokens")).alias("end"), F.max("used").alias("used")
+    )
+    return j.select(
+        key, (F.abs(F.col("last") + 1 - F.col("n")) + F.abs(F.col("end") - F.col("size"))).cast("long").alias("missing_parts"),
+        F.greatest(F.col("used") - capacity, F.lit(0)).cast("long").alias("tokens_over"), ((F.col("n") == 1) | (F.col("size") > capacity)).alias("whole_if_it_fits"),
+    )
