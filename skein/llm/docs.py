@@ -141,20 +141,26 @@ def _leading(text: str, ruby: bool, rust: bool) -> tuple[list[tuple[str, str]],
     return out, i
 
 
-def _docstring(text: str) -> str | None:
+def _past_decorators(text: str) -> int:
+    """The place after the comments and decorators that a Python declaration begins with."""
     i, n = 0, len(text)
-    while i < n:  # comments and decorators
+    while i < n:
         if text[i].isspace():
             i += 1
         elif text[i] == "#":
             i = text.find("\n", i)
             if i < 0:
-                return None
+                return n
         elif text[i] == "@":
             while i < n and text[i] != "\n":
                 i = _balanced(text, i) if text[i] in "([{" else i + 1
         else:
             break
+    return i
+
+
+def _docstring(text: str) -> str | None:
+    i, n = _past_decorators(text), len(text)
     m = re.compile(r"(?:async\s+)?def\b").match(text, i)
     if not m:
         return None
@@ -266,23 +272,61 @@ def words(text: str) -> int:
     return len(_WORD.findall(text))
 
 
-_BASES = {
-    "py": re.compile(r"\bclass\s+\w+\s*\(([^)]*)\)"),
-    "rb": re.compile(r"\bclass\s+\w+\s*<\s*([\w:]+)"),
-    "ts": re.compile(r"\bclass\s+\w+(?:<[^{]*?>)?\s+(?:extends\s+([\w.]+))?(?:[^{]*?implements\s+([\w., ]+))?"),
-    "c": re.compile(r"\b(?:class|struct)\s+\w+\s*(?:final\s*)?:\s*([^{;]+)"),
-    "rs": re.compile(r"\bimpl(?:<[^>]*>)?\s+([\w:]+)(?:<[^>]*>)?\s+for\b"),
+_HEADERS = {
+    "py": re.compile(r"class\s+\w+\s*(?:\[[^\]]*\]\s*)?(\()"),
+    "rb": re.compile(r"class\s+[\w:]+[ \t]*<[ \t]*([\w:]+)"),
+    "ts": re.compile(r"(?:(?:export|default|declare|abstract)\s+)*(?:class|interface)\s+[\w$]+(.*)", re.S),
+    "c": re.compile(r"(?:template\s*<[^{;]*?>\s*)?(?:typedef\s+)?(?:class|struct)\s+(?:\[\[[^\]]*\]\]\s*)?\w+(?:::\w+)*(?:<[^{;]*?>)?\s*(?:final\s*)?:(?!:)\s*([^{;]+)", re.S),
+    "rs": re.compile(r"(?:unsafe\s+)?impl\b(.*)", re.S),
+    "rs trait": re.compile(r"(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+\w+(?:<[^{;]*?>)?\s*:\s*([^{;]+)", re.S),
 }
+_NO_BASE = {"public", "private", "protected", "virtual", "typename", "object", "where", "extends", "implements"}
+
+
+def _without_brackets(text: str, pairs: str = "<>[]()") -> str:
+    """The text without what stands in brackets."""
+    out, depth = [], 0
+    for c in text:
+        k = pairs.find(c)
+        if k >= 0:
+            depth = depth + 1 if k % 2 == 0 else max(0, depth - 1)
+        elif not depth:
+            out.append(c)
+    return "".join(out)
 
 
 def bases_of(language: str | None, text: str) -> list[str]:
-    """Names of the classes and interfaces in the header of a class, in order."""
+    """Names of the classes and interfaces in the header of the text's own class, in order, without the modules they are in; an inner class's
+    header is not looked at. In Rust the trait that an impl is for, and the traits above a trait."""
     language = (language or "").lower()
-    m = _BASES.get("ts" if language in SCRIPT else "c" if language in C_FAMILY else language, _BASES["c"]).search(text[: text.find("{") + 1 or None] if language != "py" else text)
+    kind = "ts" if language in SCRIPT else "c" if language in C_FAMILY else language
+    if kind not in ("py", "rb", "ts", "c", "rs"):
+        return []
+    text = text.replace("\r\n", "\n")
+    at = _past_decorators(text) if kind == "py" else _leading(text, kind == "rb", kind == "rs")[1]
+    body = text.find("{", at) if kind not in ("py", "rb") else -1
+    header = text[at : body if body >= 0 else None]
+    m = _HEADERS[kind].match(header)
+    if kind == "rs" and not m:
+        m = _HEADERS["rs trait"].match(header)
+    elif kind == "rs" and m:
+        before, sep, _ = _without_brackets(m[1]).partition(" for ")
+        return [before.strip().split("::")[-1].lstrip("!")] if sep else []
     if not m:
         return []
-    names = re.split(r"[,\s]+", ",".join(g for g in m.groups() if g))
-    return [x.split(".")[-1].split("::")[-1] for x in names if re.match(r"^[A-Z]\w*", x.split(".")[-1].split("::")[-1]) and "=" not in x]
+    if kind == "py":
+        names = header[m.end() : _balanced(header, m.start(1)) - 1]
+        names = re.sub(r"#[^\n]*", "", names)
+    else:
+        names = m[1]
+    out = []
+    for part in re.split(r"[,+]|\bextends\b|\bimplements\b", _without_brackets(names)):
+        words_ = [w for w in part.split() if w not in _NO_BASE]
+        if words_ and "=" not in part and re.fullmatch(r"[\w$.:?']+", words_[0]):
+            name = re.split(r"\.|::", words_[0])[-1].lstrip("?'")
+            if name and name not in _NO_BASE:
+                out.append(name)
+    return list(dict.fromkeys(out))
 
 
 _PARSED = "id string, ingested_at timestamp, repo_id string, file_path string, kind string, name string, start long, end long, comment string, description string, inherits boolean, bases array<string>"
@@ -326,7 +370,7 @@ def parsed(nodes: DataFrame) -> DataFrame:
 
 
 def _enclosed(methods: DataFrame, classes: DataFrame) -> DataFrame:
-    """``id, repo_id, cls, name, description, bases`` of each method in the innermost class of its file around it.
+    """``id, repo_id, file_path, cls, name, description, bases`` of each method in the innermost class of its file around it.
 
     Classes are keyed by cells as wide as the power of two next to their length, of which each touches at most two, and a method is
     looked up in its cell of each width that its file has; so even in a file of very many symbols only
@@ -338,7 +382,7 @@ def _enclosed(methods: DataFrame, classes: DataFrame) -> DataFrame:
     widths = c.select("repo_id", "file_path", "w").distinct()
     m = methods.select("id", "repo_id", "file_path", "name", "description", "start", "end").join(widths, ["repo_id", "file_path"]).withColumn("cell", F.expr("shiftright(start, w)"))
     inside = m.join(c, ["repo_id", "file_path", "w", "cell"]).filter((F.col("start") >= F.col("cs")) & (F.col("end") <= F.col("ce")))
-    best = F.max_by(F.struct("repo_id", "cls", "name", "description", F.col("cb").alias("bases")), F.struct("cs", "cls"))
+    best = F.max_by(F.struct("repo_id", "file_path", "cls", "name", "description", F.col("cb").alias("bases")), F.struct("cs", "cls"))
     return inside.groupBy("id").agg(best.alias("m")).select("id", "m.*")
 
 
@@ -347,8 +391,8 @@ def pairs(nodes: DataFrame) -> DataFrame:
 
     ``source_id`` is the id itself for a description of its own, to which that of the overridden method is appended where the
     comment asks to inherit; else the overridden method whose
-    description it inherits: the one of the same name in the nearest base class of the same
-    repository that has one, through as many levels of bases as there are; a class is asked once, so cycles end. Functions whose
+    description it inherits: the one of the same name in the nearest base class that has one. A base is the class of that name
+    in the same file or, where the file has none, in the repository, through as many levels of bases as there are; a class is asked once, so cycles end. Functions whose
     description is absent, says nothing and is not inherited are dropped. Null texts, names and empty tables give no rows.
     """
     p = checkpoint(parsed(nodes))
@@ -358,31 +402,39 @@ def pairs(nodes: DataFrame) -> DataFrame:
     )
     members = _enclosed(p.filter(F.col("kind").isin("function", "method") & F.col("name").isNotNull()), classes)
     members = checkpoint(members)
-    known = members.groupBy("repo_id", "cls", "name").agg(
+    # a class is known in its file and, with all others of its name, in its repository
+    both = lambda df: df.withColumn("scope", F.explode(F.array("file_path", F.lit(""))))
+    known = both(members.filter("file_path IS NOT NULL")).groupBy("repo_id", "scope", "cls", "name").agg(
         F.min_by(F.struct("description", F.col("id").alias("source_id")), F.struct(F.col("description") == "", F.col("id"))).alias("k")
-    ).select(F.col("repo_id").alias("r"), F.col("cls").alias("c"), F.col("name").alias("n"), "k.*")
-    # every declaration of a class's name in the repository counts; of a base named several times the first place does
-    up = classes.select(F.col("repo_id").alias("hr"), F.col("cls").alias("hc"), "file_path", "cs", F.posexplode("cb").alias("hat", "hb"))
-    up = up.groupBy("hr", "hc", "hb").agg(F.min(F.struct("file_path", "cs", "hat")).alias("hat"))
+    ).select(F.col("repo_id").alias("r"), F.col("scope").alias("s"), F.col("cls").alias("c"), F.col("name").alias("n"), "k.*")
+    here = classes.select(F.col("repo_id").alias("dr"), F.col("file_path").alias("df"), F.col("cls").alias("dc")).distinct()
+
+    def scoped(rows: DataFrame, base: str, scope: str) -> DataFrame:
+        j = rows.join(here, (F.col("repo_id") == F.col("dr")) & (F.col("file_path") == F.col("df")) & (F.col(base) == F.col("dc")), "left")
+        return j.withColumn(scope, F.coalesce("df", F.lit(""))).drop("dr", "df", "dc")
+
+    # of a base named several times the first place does
+    up = both(scoped(classes.select("repo_id", "file_path", "cls", "cs", F.posexplode("cb").alias("hat", "hb")), "hb", "hs"))
+    up = up.groupBy(F.col("repo_id").alias("hr"), F.col("scope").alias("hw"), F.col("cls").alias("hc"), "hb", "hs").agg(F.min(F.struct("file_path", "cs", "hat")).alias("hat"))
     said = known.filter("description <> ''")
     asking = p.filter("inherits").select("id")
     silent = members.filter(F.col("description") == "").union(members.filter(F.col("description") != "").join(asking, "id", "left_semi").select(members.columns))
-    open_ = silent.select("id", "repo_id", "name", F.posexplode("bases").alias("place", "base"))
-    open_ = open_.groupBy("id", "repo_id", "name", "base").agg(F.min("place").alias("place"))
+    open_ = scoped(silent.select("id", "repo_id", "file_path", "name", F.posexplode("bases").alias("place", "base")), "base", "scope")
+    open_ = open_.groupBy("id", "repo_id", "name", "base", "scope").agg(F.min("place").alias("place"))
     links, visited = None, None
     while True:
         open_ = checkpoint(open_)
         if open_.limit(1).count() == 0:
             break
-        j = open_.join(said, (F.col("repo_id") == F.col("r")) & (F.col("base") == F.col("c")) & (F.col("name") == F.col("n")) & (F.col("id") != F.col("source_id")))
+        j = open_.join(said, (F.col("repo_id") == F.col("r")) & (F.col("scope") == F.col("s")) & (F.col("base") == F.col("c")) & (F.col("name") == F.col("n")) & (F.col("id") != F.col("source_id")))
         hit = checkpoint(j.groupBy("id").agg(F.min_by(F.struct("description", "source_id"), "place").alias("k")).select("id", "k.*"))
         links = hit if links is None else links.union(hit)
-        pairs_ = open_.select("id", "base")
+        pairs_ = open_.select("id", "base", "scope")
         visited = pairs_ if visited is None else visited.union(pairs_)
-        far = open_.join(hit.select("id"), "id", "left_anti").join(up, (F.col("repo_id") == F.col("hr")) & (F.col("base") == F.col("hc")))
-        far = far.groupBy("id", "repo_id", "name", F.col("hb").alias("base")).agg(F.min(F.struct("place", "hat")).alias("_p")).join(visited, ["id", "base"], "left_anti")
-        w = Window.partitionBy("id").orderBy("_p", "base")
-        open_ = far.select("id", "repo_id", "name", "base", F.row_number().over(w).alias("place"))
+        far = open_.join(hit.select("id"), "id", "left_anti").join(up, (F.col("repo_id") == F.col("hr")) & (F.col("scope") == F.col("hw")) & (F.col("base") == F.col("hc")))
+        far = far.groupBy("id", "repo_id", "name", F.col("hb").alias("base"), F.col("hs").alias("scope")).agg(F.min(F.struct("place", "hat")).alias("_p")).join(visited, ["id", "base", "scope"], "left_anti")
+        w = Window.partitionBy("id").orderBy("_p", "base", "scope")
+        open_ = far.select("id", "repo_id", "name", "base", "scope", F.row_number().over(w).alias("place"))
     if links is None:
         return own
     # what a method inherits may ask for its own base's description in turn

@@ -62,6 +62,11 @@ def test_bases():
     assert docs.bases_of("cpp", "class A : public B, private C {") == ["B", "C"]
     assert docs.bases_of("rs", "impl Tr for S {") == ["Tr"]
     assert docs.bases_of("ts", "class A {") == []
+    assert docs.bases_of("py", "class A:\n    class Meta(B):\n        pass\n") == [] and docs.bases_of("py", "# class X(Y):\n@dec(1, [2])\nclass A(base_thing[T], abc.ABC):\n    pass") == ["base_thing", "ABC"]
+    assert docs.bases_of("cpp", "// a class c : d {\nclass a : public virtual ns::base_thing<int, K>, other {") == ["base_thing", "other"] and docs.bases_of("cpp", "struct a::b {") == []
+    assert docs.bases_of("ts", "export default class A<T extends Z> extends lib.B<T, K[]> implements C<D> {") == ["B", "C"]
+    assert docs.bases_of("rs", "impl<T: Clone> fmt::Tr<T> for S<T> {") == ["Tr"] and docs.bases_of("rs", "impl S {") == [] and docs.bases_of("rs", "pub trait T: Sub + Send {") == ["Sub", "Send"]
+    assert docs.bases_of("rb", "# class Z < Y\nclass A\n  class B < C\n  end\nend") == [] and docs.bases_of("go", "type a struct {") == [] and docs.bases_of("ts", "interface A extends B, C {") == ["B", "C"]
 
 
 def test_pairs_inherit_through_bases(spark):
@@ -140,6 +145,16 @@ def test_pairs_search_the_bases_of_every_declaration(spark):
     assert got == {"A.m": "A.m", "Mid1.m": "A.m", "Low.m": "A.m"}
 
 
+def test_pairs_prefer_the_class_of_the_same_file(spark):
+    rows = []
+    _class(rows, "Base", "", f'def m(self):\n    """{GOOD} Of the first."""\n', key="B1", path="a.py")
+    _class(rows, "Base", "", f'def m(self):\n    """{GOOD} Of the second."""\n', key="B2", path="b.py")
+    _class(rows, "Low", "Base", key="Low1", path="b.py")
+    _class(rows, "Low", "Base", key="Low2", path="c.py")
+    got = {r.id: r.source_id for r in docs.pairs(spark.createDataFrame(rows, NODE)).collect()}
+    assert got == {"B1.m": "B1.m", "B2.m": "B2.m", "Low1.m": "B2.m", "Low2.m": "B1.m"}
+
+
 def test_pairs_append_what_a_comment_asks_to_inherit(spark):
     own = ["Opens the lower file and reads every line.", "Counts the middle words of each given line.", "Writes the upper totals into the given table."]
     rows = []
