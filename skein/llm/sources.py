@@ -1,14 +1,13 @@
 """Files that were not written by hand in their repository (problem 3).
 
-A random forest learns from compression ratio, token entropy, identifier lengths, comment
-density and the like which files are generated, minified or data kept as code. The
-labels are notices that the features don't see: header comments that name a generator, and
-the names by which projects mark such files. Not every such file bears a notice, so
-what the forest learns is the chance of one; files of that kind have a high chance, others
-almost none, and the threshold lies far below one half (learning from positive and
-unlabelled files). Copies of third-party code look like any code; they are known
-by their place, by the notice above their first symbol, or as whole files that other
-repositories hold too.
+Random forests learn from compression ratio, token entropy, identifier lengths, comment
+density and the like. The labels are notices that the features don't see: for generated files header
+comments that name a generator, and the names by which projects mark such files (minified files and data bear no
+notice); for copies of third-party code the notice above the first symbol. Copies look like any code, so their
+forest also sees how much of a file other repositories hold word for word, and whether it lies in a place for such code. Not
+every file of either kind bears a notice, so what a forest learns is the chance of one; files of the
+kind have a high chance, others almost none, and the threshold lies far below one half (learning from
+positive and unlabelled files).
 """
 
 from __future__ import annotations
@@ -24,10 +23,12 @@ from pyspark.sql import functions as F
 
 from skein.sources.tables import checkpoint, newest, slash
 
-#: Files that the forest learns from (those of the smallest hashes), its trees, and the chance of a notice from which a file counts.
-SAMPLE, TREES, CHANCE = 20_000, 30, 0.2
-#: Share of a file's characters in symbols that other repositories hold too from which it counts as a copy; shorter symbols say nothing.
-COPIED, TELLING = 0.5, 150
+#: Files that a forest learns from (those of the smallest hashes), its trees, and the chances of a notice from which a file counts as
+#: generated and as a copy.
+SAMPLE, TREES, CHANCE, COPY_CHANCE = 20_000, 30, 0.2, 0.03
+#: The fewest notices of copies that a forest can learn from; with fewer, files count as copies in a place for such code and from this share
+#: of characters that other repositories hold.
+LEAST, COPIED = 10, 0.5
 
 # Notices of generators, of copies, and names of places.
 _GENERATED = re.compile(
@@ -56,6 +57,7 @@ FEATURES = [
     "compression_ratio", "token_entropy", "mean_name_length", "short_name_share", "hex_name_share", "comment_density", "number_share",
     "long_line_share", "mean_line_length", "short_body_share", "long_body_share", "quoted_share", "tokens_per_node",
 ]
+COPY_FEATURES = [*FEATURES, "copied_share", "in_place"]
 
 
 def notice_text(text: str) -> str:
@@ -117,7 +119,7 @@ def measured_nodes(nodes: DataFrame) -> DataFrame:
     """Newest rows with the sums of their features; texts are measured before the shuffle, which carries none."""
     src = nodes.filter(F.col("id").isNotNull() & F.col("file_path").isNotNull() & F.col("repo_id").isNotNull()).select(
         "id", "ingested_at", "repo_id", slash("file_path").alias("path"), F.col("source_start_byte").alias("start"), "symbol_type", "raw_text",
-        F.when(F.length("raw_text") >= TELLING, F.md5(F.replace("raw_text", F.lit("\r"), F.lit("")))).alias("digest"),
+        F.md5(F.replace("raw_text", F.lit("\r"), F.lit(""))).alias("digest"),
     )
     kind = src.schema["ingested_at"].dataType.simpleString()
     schema = f"id string, ingested_at {kind}, repo_id string, path string, start long, digest string, " + ", ".join(f"{c} double" for c in _SUMS) + ", gen boolean, cop boolean"
@@ -125,7 +127,7 @@ def measured_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def files(nodes: DataFrame) -> DataFrame:
-    """One row per file: ``repo_id, path``, the features, ``notice`` (a label) and ``third_party``.
+    """One row per file: ``repo_id, path``, the features, and the labels ``notice`` and ``copy_notice``.
 
     Rows without id, repository or path belong to no file; null texts count as empty; repeated rows count once.
     """
@@ -148,35 +150,59 @@ def files(nodes: DataFrame) -> DataFrame:
         per_("short_bodies", "bodies").alias("short_body_share"), per_("long_body_chars", "body_chars").alias("long_body_share"),
         per_("quoted_chars", "bytes").alias("quoted_share"), per_("tokens", "nodes").alias("tokens_per_node"),
         (F.col("gen") | F.regexp_like("path", F.lit(_MARKED))).alias("notice"),
-        (F.regexp_like("path", F.lit(PLACES)) | F.col("cop") | (per_("copied", "bytes") >= COPIED)).alias("third_party"),
+        F.col("cop").alias("copy_notice"), per_("copied", "bytes").alias("copied_share"), F.regexp_like("path", F.lit(PLACES)).cast("double").alias("in_place"),
     )
 
 
-def classify(nodes: DataFrame, sample: int = SAMPLE, trees: int = TREES, chance: float = CHANCE) -> DataFrame:
-    """The files with ``chance`` (of not being written by hand, by the forest) and ``by_hand``.
+def _sample(rows: DataFrame, sample: int) -> DataFrame:
+    """At most ``sample`` files, those of the smallest hashes; rows that can't be among them are dropped where they lie."""
+    h = F.xxhash64("repo_id", "path")
+    share = min(1.0, 1.2 * sample / max(1, rows.count()))
+    some = rows if share == 1 else rows.filter(h <= F.lit(int(-(2**63) + share * (2**64 - 2))))
+    return some.orderBy(h, "repo_id", "path").limit(sample)
 
-    A first forest is fitted on at most ``sample`` files that aren't third-party, those of the smallest hashes. Files without
-    a notice that it gives at least ``chance`` count as marked, those at half of it or more as unknown, and a second forest
-    is fitted on the rest; it decides at one half. Where all files bear a notice or none does, there is nothing
-    to learn and the notice itself decides. Of files whose texts are all null nothing is known: they count as written by hand.
+
+def _chances(every: DataFrame, own: DataFrame, label: str, features: list[str], trees: int, least: float, to: str, few: int = 1) -> DataFrame | None:
+    """``every`` with the chance of the label, by a forest fitted on ``own``; None where all of these bear the label or fewer than ``few`` do.
+
+    Files without a notice that a first forest gives at least ``least`` count as marked, those at half of it or more as
+    unknown, and a second forest is fitted on the rest.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
+    kinds = own.agg(F.count_if(label).alias("a"), F.count("*").alias("b")).first()
+    if not few <= kinds["a"] < kinds["b"]:
+        return None
+    forest = RandomForestClassifier(
+        labelCol="y", featuresCol="_x", numTrees=trees, maxDepth=6, minInstancesPerNode=max(2, min(8, kinds["b"] // 250)), subsamplingRate=0.8, seed=11
+    )
+    join = VectorAssembler(inputCols=features, outputCol="_x")
+    p = vector_to_array("probability")[1]
+    train = checkpoint(join.transform(own.select(label, *features)).select(label, "_x").coalesce(4))
+    first = forest.fit(train.withColumn("y", F.col(label).cast("double")))
+    known = checkpoint(first.transform(train).select("_x", F.when(F.col(label) | (p >= least), 1.0).when(p < least / 2, 0.0).alias("y")).filter("y IS NOT NULL"))
+    scored = forest.fit(known).transform(join.transform(every)).withColumn(to, F.when(F.col("compression_ratio") > 0, p).otherwise(0.0))
+    return scored.select(*every.columns, to)
+
+
+def classify(nodes: DataFrame, sample: int = SAMPLE, trees: int = TREES, chance: float = CHANCE, copy_chance: float = COPY_CHANCE) -> DataFrame:
+    """The files with ``copy_chance, third_party``, the chance of being a copy and whether that is at least one half or its notice
+    says so; ``chance``, that of being made by a program; and ``by_hand``: neither a copy nor of a chance of one half.
+
+    Each forest is fitted on at most ``sample`` files, that of generated files on those that aren't copies. Where all files bear a notice or too few
+    do, there is nothing to learn and the notice itself decides, of copies also the place and a share of COPIED. Of files
+    whose texts are all null nothing is known: they count as written by hand.
+    """
     every = checkpoint(files(nodes))
-    own = every.filter(~F.col("third_party") & (F.col("compression_ratio") > 0)).orderBy(F.xxhash64("repo_id", "path"), "repo_id", "path").limit(sample)
-    kinds = own.agg(F.count_if("notice").alias("a"), F.count("*").alias("b")).first()
-    if not 0 < kinds["a"] < kinds["b"]:
-        scored = every.withColumn("chance", F.col("notice").cast("double"))
-    else:
-        forest = RandomForestClassifier(
-            labelCol="y", featuresCol="x", numTrees=trees, maxDepth=6, minInstancesPerNode=max(2, min(8, kinds["b"] // 250)), subsamplingRate=0.8, seed=11
-        )
-        join = VectorAssembler(inputCols=FEATURES, outputCol="x")
-        p = vector_to_array("probability")[1]
-        train = checkpoint(join.transform(own.select("notice", *FEATURES)).select("notice", "x").coalesce(4))
-        first = forest.fit(train.withColumn("y", F.col("notice").cast("double")))
-        known = checkpoint(first.transform(train).select("x", F.when(F.col("notice") | (p >= chance), 1.0).when(p < chance / 2, 0.0).alias("y")).filter("y IS NOT NULL"))
-        scored = forest.fit(known).transform(join.transform(every)).withColumn("chance", F.when(F.col("compression_ratio") > 0, p).otherwise(0.0))
-    return scored.select("repo_id", "path", *FEATURES, "notice", "third_party", "chance", (~F.col("third_party") & (F.col("chance") < 0.5)).alias("by_hand"))
+    some = checkpoint(_sample(every.filter(F.col("compression_ratio") > 0), sample))
+    copies = _chances(every, some, "copy_notice", COPY_FEATURES, trees, copy_chance, "copy_chance", LEAST)
+    if copies is None:
+        copies = every.withColumn("copy_chance", ((F.col("copied_share") >= COPIED) | (F.col("in_place") > 0)).cast("double"))
+    copies = checkpoint(copies.withColumn("third_party", (F.col("copy_chance") >= 0.5) | F.col("copy_notice")))
+    own = some.join(copies.filter("third_party").select("repo_id", "path"), ["repo_id", "path"], "left_anti")
+    scored = _chances(copies, own, "notice", FEATURES, trees, chance, "chance")
+    if scored is None:
+        scored = copies.withColumn("chance", F.col("notice").cast("double"))
+    return scored.select("repo_id", "path", *COPY_FEATURES, "notice", "copy_notice", "copy_chance", "third_party", "chance", (~F.col("third_party") & (F.col("chance") < 0.5)).alias("by_hand"))

@@ -58,6 +58,21 @@ def test_hand_written_files_remain(spark):
         assert got[k] == truth[k]
 
 
+def test_copies_are_learned_from_notices(spark):
+    rng, rows, truth = random.Random(4), [], {}
+    for f in range(240):
+        copy = [hand(rng) for _ in range(3)]
+        homes = [(f"r{f % 6}", f"src/f{f}.py")] if f % 4 else [(f"r{f % 6}", f"src/f{f}.py"), (f"r{f % 6 + 1}", f"lib/g{f}.py")]
+        for i, (repo, path) in enumerate(homes):
+            for n, t in enumerate(copy):
+                notice = "# tinylib 1.2.3 - https://tinylib.example/ - distributed under the MIT licence\n" if len(homes) > 1 and n == 0 and rng.random() < 0.4 else ""
+                rows.append((f"{f}.{i}.{n}", repo, path, "function", "x", notice + t, n * 1000, datetime(2024, 1, 1)))
+            truth[repo, path] = len(homes) > 1
+    got = {(r.repo_id, r.path): r for r in sources.classify(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(got[k].third_party == v for k, v in truth.items()) / len(truth) >= 0.97
+    assert any(got[k].third_party and not got[k].copy_notice for k in truth)
+
+
 def test_nothing_to_learn(spark):
     df = spark.createDataFrame([("a", "r", "gen/a.py", "function", "x", "def f(): pass", 0, None), ("b", "r", "gen/b.py", "function", "x", None, 0, None)], SCHEMA)
     assert {(r.path, r.by_hand) for r in sources.classify(df).collect()} == {("gen/a.py", False), ("gen/b.py", False)}
