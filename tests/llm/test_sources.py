@@ -61,11 +61,11 @@ def test_hand_written_files_remain(spark):
 def test_copies_are_learned_from_notices(spark):
     rng, rows, truth = random.Random(4), [], {}
     for f in range(240):
-        copy = [hand(rng) for _ in range(3)]
+        copy, noticed = [hand(rng) for _ in range(3)], rng.random() < 0.4
         homes = [(f"r{f % 6}", f"src/f{f}.py")] if f % 4 else [(f"r{f % 6}", f"src/f{f}.py"), (f"r{f % 6 + 1}", f"lib/g{f}.py")]
         for i, (repo, path) in enumerate(homes):
             for n, t in enumerate(copy):
-                notice = "# tinylib 1.2.3 - https://tinylib.example/ - distributed under the MIT licence\n" if len(homes) > 1 and n == 0 and rng.random() < 0.4 else ""
+                notice = "# tinylib 1.2.3 - https://tinylib.example/ - distributed under the MIT licence\n" if len(homes) > 1 and n == 0 and noticed else ""
                 rows.append((f"{f}.{i}.{n}", repo, path, "function", "x", notice + t, n * 1000, datetime(2024, 1, 1)))
             truth[repo, path] = len(homes) > 1
     got = {(r.repo_id, r.path): r for r in sources.classify(spark.createDataFrame(rows, SCHEMA)).collect()}
