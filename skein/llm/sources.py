@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from skein.sources.tables import checkpoint, newest, slash
 
-#: Files that a forest learns from (those of the smallest hashes), its trees, and the chances of a notice from which a file counts as
-#: generated and as a copy.
-SAMPLE, TREES, CHANCE, COPY_CHANCE = 20_000, 30, 0.2, 0.03
+#: Files that a forest learns from (those of the smallest hashes), its trees, the chance of a notice from which a file counts as
+#: generated, and as a copy in multiples of the share of files that bear one.
+SAMPLE, TREES, CHANCE, COPY_LIFT = 20_000, 30, 0.2, 1.2
 #: The fewest notices of copies that a forest can learn from; with fewer, files count as copies in a place for such code and from this share
 #: of characters that other repositories hold.
 LEAST, COPIED = 10, 0.5
@@ -67,6 +67,14 @@ def notice_text(text: str) -> str:
     return (m[1] if m else "") + (d[2] if d else "")
 
 
+def without_notice(text: str) -> str:
+    """The text without the comments or docstring that ``notice_text`` reads."""
+    m = _LEAD.match(text)
+    at = m.end() if m else 0
+    d = _PYDOC.match(text, at)
+    return text[at : d.start(1)] + text[d.end(2) + 3 :] if d else text[at:]
+
+
 def measure(text: str, function: bool) -> list[float]:
     data = text.encode("utf-8", "replace")
     toks = _TOKENS.findall(text)
@@ -104,10 +112,11 @@ def _measured(batches):
                 gen.append(False)
                 cop.append(False)
                 continue
-            rows.append(measure(text, (kind or "").lower() in ("function", "method")))
             said = notice_text(text)
             gen.append(bool(_GENERATED.search(said)))
             cop.append(bool(_COPIED.search(said)))
+            # the features don't see the notice
+            rows.append(measure(without_notice(text) if gen[-1] or cop[-1] else text, (kind or "").lower() in ("function", "method")))
         cols = list(zip(*rows)) or [()] * len(_SUMS)
         yield pa.RecordBatch.from_arrays(
             [*[b.column(c) for c in _COLS], b.column("digest"), *[pa.array(c, pa.float64()) for c in cols], pa.array(gen, pa.bool_()), pa.array(cop, pa.bool_())],
@@ -162,10 +171,10 @@ def _sample(rows: DataFrame, sample: int) -> DataFrame:
     return some.orderBy(h, "repo_id", "path").limit(sample)
 
 
-def _chances(every: DataFrame, own: DataFrame, label: str, features: list[str], trees: int, least: float, to: str, few: int = 1) -> DataFrame | None:
+def _chances(every: DataFrame, own: DataFrame, label: str, features: list[str], trees: int, least: float | None, to: str, few: int = 1) -> DataFrame | None:
     """``every`` with the chance of the label, by a forest fitted on ``own``; None where all of these bear the label or fewer than ``few`` do.
 
-    Files without a notice that a first forest gives at least ``least`` count as marked, those at half of it or more as
+    Files without a notice that a first forest gives at least ``least`` (None: COPY_LIFT times the share of files with a notice, at most 0.4) count as marked, those at half of it or more as
     unknown, and a second forest is fitted on the rest.
     """
     from pyspark.ml.classification import RandomForestClassifier
@@ -175,6 +184,7 @@ def _chances(every: DataFrame, own: DataFrame, label: str, features: list[str],
     kinds = own.agg(F.count_if(label).alias("a"), F.count("*").alias("b")).first()
     if not few <= kinds["a"] < kinds["b"]:
         return None
+    least = min(0.4, COPY_LIFT * kinds["a"] / kinds["b"]) if least is None else least
     forest = RandomForestClassifier(
         labelCol="y", featuresCol="_x", numTrees=trees, maxDepth=6, minInstancesPerNode=max(2, min(8, kinds["b"] // 250)), subsamplingRate=0.8, seed=11
     )
@@ -187,7 +197,7 @@ def _chances(every: DataFrame, own: DataFrame, label: str, features: list[str],
     return scored.select(*every.columns, to)
 
 
-def classify(nodes: DataFrame, sample: int = SAMPLE, trees: int = TREES, chance: float = CHANCE, copy_chance: float = COPY_CHANCE) -> DataFrame:
+def classify(nodes: DataFrame, sample: int = SAMPLE, trees: int = TREES, chance: float = CHANCE) -> DataFrame:
     """The files with ``copy_chance, third_party``, the chance of being a copy and whether that is at least one half or its notice
     says so; ``chance``, that of being made by a program; and ``by_hand``: neither a copy nor of a chance of one half.
 
@@ -197,7 +207,7 @@ def classify(nodes: DataFrame, sample: int = SAMPLE, trees: int = TREES, chance:
     """
     every = checkpoint(files(nodes))
     some = checkpoint(_sample(every.filter(F.col("compression_ratio") > 0), sample))
-    copies = _chances(every, some, "copy_notice", COPY_FEATURES, trees, copy_chance, "copy_chance", LEAST)
+    copies = _chances(every, some, "copy_notice", COPY_FEATURES, trees, None, "copy_chance", LEAST)
     if copies is None:
         copies = every.withColumn("copy_chance", ((F.col("copied_share") >= COPIED) | (F.col("in_place") > 0)).cast("double"))
     copies = checkpoint(copies.withColumn("third_party", (F.col("copy_chance") >= 0.5) | F.col("copy_notice")))
