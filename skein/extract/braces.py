@@ -15,46 +15,30 @@ _KEYWORDS = frozenset(
 )
 
 
+_COMMENT = r"//[^\n]*|/\*.*?(?:\*/|\Z)"
+_QUOTED = r'"(?:\\.|[^"\\\n])*"?|`(?:\\.|[^`\\])*`?'
+_PLAIN = re.compile(rf"{_COMMENT}|{_QUOTED}|'(?:\\.|[^'\\\n])*'?", re.S)
+_IN_RUST = re.compile(rf"""{_COMMENT}|(?<!\w)b?r(#*)".*?(?:"\1|\Z)|{_QUOTED}|'(?:\\.[^']*|[^'\\])'""", re.S)
+_VISIBLE = re.compile(r"[^\n]")
+
+
+def _wiped(m: re.Match) -> str:
+    s = m.group()
+    if s[0] == "/":
+        return _VISIBLE.sub(" ", s)
+    head = s.index('"') + 1 if s[0] in "br" else 1
+    tail = 0
+    if len(s) > head:
+        tail = len(m[1]) + 1 if s[0] in "br" else 1
+        if not s.endswith(s[head - 1] + "#" * (tail - 1)):
+            tail = 0
+    end = len(s) - tail
+    return s[:head] + _VISIBLE.sub(" ", s[head:end]) + s[end:]
+
+
 def blank(text: str, rust: bool = False) -> str:
     """The text with comments and the insides of strings as spaces, of equal length and lines."""
-    out = list(text)
-    i, n = 0, len(text)
-
-    def wipe(a: int, b: int) -> None:
-        for k in range(a, min(b, n)):
-            if out[k] != "\n":
-                out[k] = " "
-
-    while i < n:
-        two = text[i : i + 2]
-        if two == "//":
-            end = text.find("\n", i)
-            end = n if end < 0 else end
-            wipe(i, end)
-            i = end
-        elif two == "/*":
-            end = text.find("*/", i + 2)
-            end = n if end < 0 else end + 2
-            wipe(i, end)
-            i = end
-        elif rust and (m := re.compile(r'b?r(#*)"').match(text, i)) and (i == 0 or not (text[i - 1].isalnum() or text[i - 1] == "_")):
-            end = text.find('"' + m[1], m.end())
-            end = n if end < 0 else end + 1 + len(m[1])
-            wipe(m.end(), end - 1 - len(m[1]))
-            i = end
-        elif text[i] in "\"'`":
-            q = text[i]
-            if rust and q == "'" and not re.compile(r"'(?:\\.[^']*|[^'\\])'").match(text, i):
-                i += 1  # a lifetime
-                continue
-            j = i + 1
-            while j < n and text[j] != q and (q == "`" or text[j] != "\n"):
-                j += 2 if text[j] == "\\" else 1
-            wipe(i + 1, j)
-            i = j + 1
-        else:
-            i += 1
-    return "".join(out)
+    return (_IN_RUST if rust else _PLAIN).sub(_wiped, text)
 
 
 def _match(code: str, at: int, opening: str = "{", closing: str = "}") -> int:

@@ -20,7 +20,7 @@ def capsules(pivots: DataFrame, nodes: DataFrame, edges: DataFrame, texts: Calla
     more than PIVOT_BYTES), callees as signature lines, and the first callers, of which ``omitted`` says how many loaded ones
     aren't shown. ``texts`` gives ``id, language, symbol_name, raw_text`` of the ids that it is given: those that are shown."""
     ids = pivots.select(F.col("id").alias("pivot_id"))
-    near = adjacent(nodes, edges).join(ids, "pivot_id", "left_semi")
+    near = adjacent(nodes, edges, pivots=ids)
     loaded = near.filter("direction = 'in'").groupBy("pivot_id").agg(F.count("*").alias("n"))
     near = near.filter((F.col("direction") == "out") | (F.col("rank") <= SHOWN_CALLERS))
     want = near.select("pivot_id", "direction", "rank", "id").union(ids.select("pivot_id", F.lit("self"), F.lit(0).cast("long"), "pivot_id"))
@@ -43,7 +43,7 @@ def capsule_tokens(capsule: DataFrame, nodes: DataFrame, files: DataFrame | None
 def traces(pivots: DataFrame, nodes: DataFrame, edges: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``pivot_id, rank, id, text``: the pivot's whole text (rank 0) and the condensed texts of its callees."""
     ids = pivots.select(F.col("id").alias("pivot_id"))
-    out = adjacent(nodes, edges).filter("direction = 'out'").join(ids, "pivot_id", "left_semi").select("pivot_id", "rank", "id")
+    out = adjacent(nodes, edges, pivots=ids).filter("direction = 'out'").select("pivot_id", "rank", "id")
     want = checkpoint(out.union(ids.select("pivot_id", F.lit(0).cast("long"), "pivot_id")))
     want = want.join(texts(want.select("id").distinct()).select("id", "language", "raw_text"), "id")
     cut = with_condensed(want.withColumn("full", F.when(F.col("rank") == 0, F.col("raw_text"))))

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.sources.tables import checkpoint, newest, slash
+from skein.sources.tables import BROADCAST_ROWS, checkpoint, hinted, newest, slash
 
 NODE_COLUMNS = ["repo_id", "file_path", "language", "symbol_name", "symbol_type", "source_start_byte", "source_end_byte", "start_line", "start_column", "end_line", "end_column"]
 
@@ -77,50 +77,70 @@ def neighbours(pivots: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFra
     return near.join(nodes.select("id"), "id", "left_semi").join(d, "id", "left").select("pivot_id", "id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
-def adjacent(nodes: DataFrame, edges: DataFrame, out_limit: int = 50, in_limit: int = 64) -> DataFrame:
-    """``pivot_id, direction, rank, id, symbol_name, file_path, kind``: for every node its callees and callers, the first by
-    name, file, id of each direction; loops and unknown ends are left out.
+def adjacent(nodes: DataFrame, edges: DataFrame, out_limit: int = 50, in_limit: int = 64, pivots: DataFrame | None = None) -> DataFrame:
+    """``pivot_id, direction, rank, id, symbol_name, file_path, kind``: for every node, or those of ``pivots`` (``pivot_id``), its callees and
+    callers, the first by name, file, id of each direction; loops and unknown ends are left out.
 
-    The limit is a feature of the capsule and is taken before the exchange as well, so a node that a third of all
+    The limit is a feature of the capsule and is taken before the exchange by pivot as well, so a node that a third of all
     edges point at sends no more than the limit per task.
     """
     facts = nodes.select("id", "symbol_name", "file_path")
-    known = nodes.select(F.col("id").alias("pivot_id"))
+    if pivots is not None:
+        pivots = hinted(checkpoint(pivots.select("pivot_id").distinct()))
 
     def side(frm: str, to: str, way: str, limit: int) -> DataFrame:
-        e = edges.filter("source_id <> target_id").groupBy(F.col(frm).alias("pivot_id"), F.col(to).alias("id")).agg(F.min("kind").alias("kind"))
-        j = e.join(facts, "id").join(known, "pivot_id", "left_semi")
+        e = edges.filter("source_id <> target_id").select(F.col(frm).alias("pivot_id"), F.col(to).alias("id"), "kind")
+        if pivots is not None:
+            e = e.join(pivots, "pivot_id", "left_semi")
+        j = e.groupBy("pivot_id", "id").agg(F.min("kind").alias("kind")).join(facts, "id")
         w = Window.partitionBy("pivot_id").orderBy(F.asc_nulls_last("symbol_name"), F.asc_nulls_last("file_path"), "id")
         return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).withColumn("direction", F.lit(way))
 
     both = side("source_id", "target_id", "out", out_limit).unionByName(side("target_id", "source_id", "in", in_limit))
+    both = both.join(nodes.select(F.col("id").alias("pivot_id")), "pivot_id", "left_semi")
     return both.select("pivot_id", "direction", F.col("rank").cast("long").alias("rank"), "id", "symbol_name", "file_path", "kind")
 
 
-def reach(pivots: DataFrame, edges: DataFrame, depth: int, reverse: bool) -> DataFrame:
+def reach(pivots: DataFrame, edges: DataFrame, depth: int, reverse: bool, known: DataFrame | None = None, cap: int | None = None) -> DataFrame:
     """``pivot_id, id, depth, kind``: nodes within ``depth`` edges of each pivot, at their least depth, without the pivot; kind
-    is the least relationship of that depth. Cycles end where nothing new is found."""
+    is the least relationship of that depth. Cycles end where nothing new is found.
+
+    With ``known`` (``id``) only these are returned, though the walk goes through others; with ``cap`` a pivot that has so many is not followed
+    to the next depth, so whoever takes the nearest ``cap`` misses none.
+    """
     frm, to = ("target_id", "source_id") if reverse else ("source_id", "target_id")
-    e = checkpoint(edges.select(F.col(frm).alias("_from"), F.col(to).alias("_to"), F.col("kind").alias("_kind")))
-    seen = pivots.select(F.col("id").alias("pivot_id"), "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("kind"))
+    e = edges.select(F.col(frm).alias("_from"), F.col(to).alias("_to"), F.col("kind").alias("_kind"))
+    if known is not None:
+        k = known.select(F.col("id").alias("_to"), F.lit(True).alias("_known"))
+        e = checkpoint(e.join(k, "_to", "left").select("_from", "_to", "_kind", F.coalesce("_known", F.lit(False)).alias("_known")))
+    else:
+        e = e.withColumn("_known", F.lit(True))
+    seen = pivots.select(F.col("id").alias("pivot_id"), "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("kind"), F.lit(False).alias("known"))
     seen = front = checkpoint(seen)
+    n = front.count()
     for d in range(1, depth + 1):
+        if not n:
+            break
+        start = front.select("pivot_id", "id")
+        if cap is not None:
+            full = seen.groupBy("pivot_id").agg(F.count_if("known").alias("_n")).filter(F.col("_n") >= cap).select("pivot_id")
+            start = start.join(full, "pivot_id", "left_anti")
+        start = F.broadcast(start) if n <= BROADCAST_ROWS else start
         new = (
-            front.select("pivot_id", "id").join(e, F.col("id") == F.col("_from"))
-            .groupBy("pivot_id", F.col("_to").alias("id")).agg(F.min("_kind").alias("kind"))
+            start.join(e, F.col("id") == F.col("_from"))
+            .groupBy("pivot_id", F.col("_to").alias("id")).agg(F.min("_kind").alias("kind"), F.max("_known").alias("known"))
             .join(seen.select("pivot_id", "id"), ["pivot_id", "id"], "left_anti")
         )
-        front = checkpoint(new.select("pivot_id", "id", F.lit(d).alias("depth"), "kind"))
-        if front.limit(1).count() == 0:
-            break
+        front = checkpoint(new.select("pivot_id", "id", F.lit(d).alias("depth"), "kind", "known"))
+        n = front.count()
         seen = seen.union(front)
-    return seen.filter("depth > 0")
+    return seen.filter("depth > 0 AND known").drop("known")
 
 
 def impact(pivots: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 10, cap: int = 5000) -> DataFrame:
     """``pivot_id, id, depth, kind, truncated``: what depends on each pivot, through any repository. At most ``cap`` rows per
     pivot, the nearest first, then by id; truncated where a pivot has as many as that."""
-    r = reach(pivots, edges, depth, reverse=True).join(nodes.select("id"), "id", "left_semi")
+    r = reach(pivots, edges, depth, True, nodes, cap)
     w = Window.partitionBy("pivot_id").orderBy("depth", "id")
     total = Window.partitionBy("pivot_id")
     r = r.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.extract.condense import with_condensed
-from skein.functions.text import ascii_lower, capped_count, task_terms, tokens_up
+from skein.functions.text import capped_count, match_lower, task_terms, tokens_up
 from skein.sources.tables import checkpoint
 
 # Words that make a task broad or targeted; weights of a term; entry costs; reserve.
@@ -43,8 +43,8 @@ def scored(nodes: DataFrame, task: str) -> DataFrame:
     score = F.lit(0)
     for t in task_terms(task):
         for col, points in (("symbol_name", NAME), ("file_path", PATH), ("symbol_type", KIND)):
-            score = score + F.when(ascii_lower(F.col(col)).contains(t), points).otherwise(0)
-        score = score + capped_count(ascii_lower(F.col("raw_text")), t, MOST)
+            score = score + F.when(match_lower(F.col(col)).contains(t), points).otherwise(0)
+        score = score + capped_count(match_lower(F.col("raw_text")), t, MOST)
     return nodes.withColumn("score", score.cast("long"))
 
 

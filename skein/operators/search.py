@@ -11,6 +11,8 @@ from skein.sources.tables import slash
 # Parts of kinds that a listing shows; parameters of the ranking.
 LISTED = ("function", "class", "struct", "trait", "interface", "method", "enum", "impl", "module", "type", "union", "macro")
 K1, B = 1.2, 0.75
+#: Parts of a repository that are cut to the limit on their own.
+PARTS = 32
 
 
 def resolve_symbols(asked: DataFrame, nodes: DataFrame, show: int = 20) -> DataFrame:
@@ -65,9 +67,11 @@ def find_symbols(nodes: DataFrame, query: str, kind: str | None = None, repo: st
 
 def listing(nodes: DataFrame, limit: int = 2000) -> DataFrame:
     """``repo_id, position, file_path, symbol_name, symbol_type, start_line``: the first ``limit`` symbols of shown kinds of each
-    repository by file and place."""
-    w = Window.partitionBy("repo_id").orderBy(F.asc_nulls_last("file_path"), F.asc_nulls_last("source_start_byte"), "id")
-    shown = nodes.filter(F.regexp_like(F.col("symbol_type"), F.lit("(?i)" + "|".join(LISTED))))
+    repository by file and place. The limit is taken of parts of a repository first, so that no task sorts a whole one."""
+    order = [F.asc_nulls_last("file_path"), F.asc_nulls_last("source_start_byte"), F.asc("id")]
+    w = Window.partitionBy("repo_id").orderBy(*order)
+    shown = nodes.filter(F.regexp_like(F.col("symbol_type"), F.lit("(?i)" + "|".join(LISTED)))).withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
+    shown = shown.withColumn("_n", F.row_number().over(Window.partitionBy("repo_id", "_part").orderBy(*order))).filter(F.col("_n") <= limit)
     return shown.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= limit).select(
         "repo_id", F.col("position").cast("long").alias("position"), "file_path", "symbol_name", "symbol_type", "start_line"
     )

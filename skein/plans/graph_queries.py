@@ -49,7 +49,7 @@ def _edges(spark: SparkSession, sf: str) -> DataFrame:
 def _hubs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The nodes that most edges point at."""
     n = edges.groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("n"))
-    return n.join(nodes.select("id"), "id", "left_semi").orderBy(F.desc("n"), "id").limit(HUBS).select("id")
+    return checkpoint(n.join(nodes.select("id"), "id", "left_semi").orderBy(F.desc("n"), "id").limit(HUBS).select("id"))
 
 
 def degree_ranking(spark: SparkSession, sf: str) -> DataFrame:

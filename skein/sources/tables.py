@@ -35,6 +35,15 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+#: Rows of a few narrow columns that are broadcast at most.
+BROADCAST_ROWS = 100_000
+
+
+def hinted(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has at most ``most`` rows; these are counted, so df is best a checkpoint."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def write_shared(df: DataFrame, name: str) -> str:
     """Write df as Parquet into the shared folder and return the path."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
