@@ -115,25 +115,21 @@ def reach(pivots: DataFrame, edges: DataFrame, depth: int, reverse: bool, known:
         e = checkpoint(e.join(k, "_to", "left").select("_from", "_to", "_kind", F.coalesce("_known", F.lit(False)).alias("_known")))
     else:
         e = e.withColumn("_known", F.lit(True))
-    seen = pivots.select(F.col("id").alias("pivot_id"), "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("kind"), F.lit(False).alias("known"))
-    seen = front = checkpoint(seen)
-    n = front.count()
+    seen = checkpoint(pivots.select(F.col("id").alias("pivot_id"), "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("kind"), F.lit(False).alias("known")))
+    few = seen.count() <= BROADCAST_ROWS
     for d in range(1, depth + 1):
-        if not n:
-            break
-        start = front.select("pivot_id", "id")
+        start = seen.filter(F.col("depth") == d - 1).select("pivot_id", "id")
         if cap is not None:
             full = seen.groupBy("pivot_id").agg(F.count_if("known").alias("_n")).filter(F.col("_n") >= cap).select("pivot_id")
-            start = start.join(full, "pivot_id", "left_anti")
-        start = F.broadcast(start) if n <= BROADCAST_ROWS else start
-        new = (
-            start.join(e, F.col("id") == F.col("_from"))
-            .groupBy("pivot_id", F.col("_to").alias("id")).agg(F.min("_kind").alias("kind"), F.max("_known").alias("known"))
-            .join(seen.select("pivot_id", "id"), ["pivot_id", "id"], "left_anti")
-        )
-        front = checkpoint(new.select("pivot_id", "id", F.lit(d).alias("depth"), "kind", "known"))
-        n = front.count()
-        seen = seen.union(front)
+            start = start.join(F.broadcast(full) if few else full, "pivot_id", "left_anti")
+        n = start.count()
+        if not n:
+            break
+        met = (F.broadcast(start) if n <= BROADCAST_ROWS else start).join(e, F.col("id") == F.col("_from"))
+        met = met.select("pivot_id", F.col("_to").alias("id"), F.lit(d).alias("depth"), F.col("_kind").alias("kind"), F.col("_known").alias("known"))
+        # what was seen before keeps its depth: one exchange finds what is new
+        least = F.min(F.struct("depth", "kind", "known")).alias("m")
+        seen = checkpoint(seen.union(met).groupBy("pivot_id", "id").agg(least).select("pivot_id", "id", "m.depth", "m.kind", "m.known"))
     return seen.filter("depth > 0 AND known").drop("known")
 
 
