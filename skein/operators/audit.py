@@ -43,6 +43,11 @@ def by_model(reqs: DataFrame) -> DataFrame:
     return reqs.groupBy("session", "model").agg(F.count("*").alias("requests"), *[F.sum(c).alias(c) for c in USAGE])
 
 
+def by_session(reqs: DataFrame) -> DataFrame:
+    """Totals of each session over all models."""
+    return reqs.groupBy("session").agg(F.min("first_at").alias("first_at"), F.count("*").alias("requests"), *[F.sum(c).alias(c) for c in USAGE])
+
+
 def by_tool(calls: DataFrame) -> DataFrame:
     return calls.groupBy("session", "tool").agg(F.count("*").alias("calls"))
 

@@ -220,6 +220,13 @@ def repo_scope(nodes: DataFrame, files: DataFrame, edges: DataFrame) -> DataFram
     return n.join(f, "repo_id", "full").join(e, "repo_id", "left").filter("repo_id IS NOT NULL").select("repo_id", zero("symbols"), zero("files"), zero("out_edges"))
 
 
+def absolute_paths(nodes: DataFrame, repositories: DataFrame) -> DataFrame:
+    """``id, path``: where a node's file lies, with ``/``: below the root of its repository (of several the least). Nodes without a path or of
+    unknown repositories have none."""
+    roots = repositories.filter("id IS NOT NULL AND root_path IS NOT NULL").groupBy(F.col("id").alias("repo_id")).agg(F.min(F.rtrim(slash("root_path"), F.lit("/"))).alias("root"))
+    return nodes.filter("file_path IS NOT NULL").join(roots, "repo_id").select("id", F.concat_ws("/", "root", slash("file_path")).alias("path"))
+
+
 # Parts of a path and the category of a path that has one; the first decides.
 CATEGORIES = [("controllers", "controllers"), ("jobs", "jobs"), ("services", "services"), ("models", "models"), ("tests", "tests"), ("tests", "spec")]
 

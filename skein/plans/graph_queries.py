@@ -37,6 +37,16 @@ def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return checkpoint(_nodes(spark, sf)), checkpoint(_edges(spark, sf))
 
 
+def graph_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Current nodes with places and edges, for the API."""
+    n = graph.current_nodes(table(spark, sf, "nodes"), table(spark, sf, "shared_nodes"), table(spark, sf, "removed_nodes"))
+    return checkpoint(n), checkpoint(_edges(spark, sf))
+
+
+def texts_of(spark: SparkSession, sf: str) -> Callable[[DataFrame], DataFrame]:
+    return _texts(spark, sf)
+
+
 def _texts(spark: SparkSession, sf: str) -> Callable[[DataFrame], DataFrame]:
     """Texts of given ids: rows of other ids are dropped before the newest are chosen."""
     return lambda ids: _nodes(spark, sf, lambda df: df.join(ids, "id", "left_semi"), "raw_text")
@@ -203,6 +213,25 @@ def file_changeset(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.change_set(f, seen)
 
 
+def _snapshot(rows: DataFrame) -> DataFrame:
+    """``repo_id, file_path, content_hash`` of symbols ``id, repo_id, file_path, digest``: the digest of a file's symbols in order of their ids."""
+    one = F.concat_ws(":", "id", F.coalesce("digest", F.lit("")))
+    return rows.groupBy("repo_id", slash("file_path").alias("file_path")).agg(F.md5(F.array_join(F.array_sort(F.collect_list(one)), ",")).alias("content_hash"))
+
+
+def snapshot_changeset(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of the oldest rows of nodes against those of the current ones, by what their symbols' texts were and are."""
+    digest = lambda df: df.withColumn("digest", F.md5("raw_text"))
+    old = digest(table(spark, sf, "nodes")).filter("id IS NOT NULL AND ingested_at IS NOT NULL")
+    first = old.groupBy("id").agg(F.min(F.struct("ingested_at", "repo_id", slash("file_path").alias("file_path"), F.coalesce("digest", F.lit("")).alias("digest"))).alias("m")).select("id", "m.*")
+    known = lambda df: df.filter("repo_id IS NOT NULL AND file_path IS NOT NULL")
+    return resolve.change_set(_snapshot(known(first)), _snapshot(known(_nodes(spark, sf, digest, "digest"))))
+
+
+def absolute_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.absolute_paths(_nodes(spark, sf), table(spark, sf, "repositories"))
+
+
 def vanished_symbols(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.vanished(table(spark, sf, "nodes").filter("id IS NOT NULL"), _nodes(spark, sf))
 
@@ -316,7 +345,7 @@ QUERIES = {
         degree_ranking, top_k_subgraph_edges, neighbor_degrees, repo_scope_counts, capsule_neighbors, impact_hubs, dependency_graph, dependency_walk, dangling_edges,
         resolve_candidates, find_symbol_prefix, find_symbol_like, pick_symbols, skeleton_listing, directory_listing, path_categories, neighbour_categories,
         sampled_paths, task_score_topk, packet_token_costs, context_packet, greedy_budget, condensed_bodies, capsules, traces, class_map, call_resolution,
-        import_resolution, file_changeset, vanished_symbols, content_hash, observation_staleness, session_notes, freshness_audit, counter_rollup, lifetime_stats,
+        import_resolution, file_changeset, snapshot_changeset, absolute_paths, vanished_symbols, content_hash, observation_staleness, session_notes, freshness_audit, counter_rollup, lifetime_stats,
         session_savings, failure_ring, failure_categories, activity_states, transcript_usage, transcript_tools, workspace_inventory, event_windows,
         language_mix, self_check, distinct_kinds, symbol_sweep,
     )
@@ -511,6 +540,18 @@ SELECT DISTINCT source_id, target_id, 'IMPORTS' AS kind FROM hit JOIN first ON f
     + """, s AS (SELECT DISTINCT repo_id, file_path, 1 AS there FROM cur)
 SELECT repo_id, file_path, CASE WHEN known IS NULL THEN 'added' WHEN there IS NULL THEN 'removed' WHEN h IS NOT NULL THEN 'unchanged' ELSE 'changed' END AS status
 FROM (SELECT *, 1 AS known FROM fh) FULL JOIN s USING (repo_id, file_path)""",
+    "snapshot_changeset": _CUR
+    + """, oldest AS (SELECT id, repo_id, path, coalesce(digest, '') AS digest FROM (SELECT id, repo_id, replace(file_path, '\\', '/') AS path, md5(raw_text) AS digest,
+  row_number() OVER (PARTITION BY id ORDER BY ingested_at, repo_id NULLS FIRST, replace(file_path, '\\', '/') NULLS FIRST, coalesce(md5(raw_text), '')) AS k
+  FROM nodes WHERE id IS NOT NULL AND ingested_at IS NOT NULL) WHERE k = 1),
+a AS (SELECT repo_id, path AS file_path, string_agg(id || ':' || digest, ',' ORDER BY id || ':' || digest) AS h FROM oldest WHERE repo_id IS NOT NULL AND path IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT repo_id, file_path, string_agg(id || ':' || coalesce(md5(raw_text), ''), ',' ORDER BY id || ':' || coalesce(md5(raw_text), '')) AS h FROM cur
+  WHERE repo_id IS NOT NULL AND file_path IS NOT NULL GROUP BY 1, 2)
+SELECT repo_id, file_path, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'removed' WHEN a.h = b.h THEN 'unchanged' ELSE 'changed' END AS status
+FROM a FULL JOIN b USING (repo_id, file_path)""",
+    "absolute_paths": _CUR
+    + """, r AS (SELECT id AS repo_id, min(rtrim(replace(root_path, '\\', '/'), '/')) AS root FROM repositories WHERE id IS NOT NULL AND root_path IS NOT NULL GROUP BY 1)
+SELECT id, root || '/' || file_path AS path FROM cur JOIN r USING (repo_id) WHERE file_path IS NOT NULL""",
     "vanished_symbols": _CUR + "SELECT DISTINCT id FROM nodes WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM cur)",
     "session_notes": """SELECT DISTINCT id, repo_id, symbol_name, replace(filepath, '\\', '/') AS filepath,
   CASE WHEN coalesce(is_stale, FALSE) THEN '[stale] ' ELSE '' END || observation_text AS note, "timestamp" FROM observations WHERE repo_id = 'granite-hub'""",

@@ -123,3 +123,20 @@ def test_render(spark):
 def test_context_needs_a_filter(spark):
     with pytest.raises(ValueError):
         memory.session_context(None)
+
+
+def test_command_line_and_transcripts(spark, tmp_path, capsys):
+    from skein.__main__ import main
+
+    line = lambda i, tool: json.dumps({"type": "assistant", "timestamp": "2024-01-01T00:00:00", "message": {"id": i, "model": "m", "usage": {"input_tokens": 3, "output_tokens": 2}, "content": [{"type": "tool_use", "name": tool, "id": "t" + i}]}})
+    (tmp_path / "s1" / "subagents").mkdir(parents=True)
+    (tmp_path / "s1.jsonl").write_text(line("1", "read") + "\n\nbroken\n" + line("2", "read") + "\n")
+    (tmp_path / "s1" / "subagents" / "x.jsonl").write_text(line("3", "find") + "\n")
+    (tmp_path / "s2.jsonl").write_text(line("9", "read") + "\n")
+    assert main(["audit", str(tmp_path), "--format", "json"], spark) == 0
+    got = {r["session"]: (r["requests"], r["input_tokens"]) for r in json.loads(capsys.readouterr().out)}
+    assert got == {"s1": (3, 9), "s2": (1, 3)}
+    assert main(["audit", str(tmp_path), "--compare", "s1", "s2", "--format", "json"], spark) == 0
+    deltas = {r["metric"]: r["delta"] for r in json.loads(capsys.readouterr().out)}
+    assert deltas["requests"] == -2 and deltas["tool:find"] == -1
+    assert main(["list"]) == 0 and "p2_found" in capsys.readouterr().out
