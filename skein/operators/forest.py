@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from skein.sources.tables import checkpoint
 
-#: Links that one task unites, and ranges that are merged at a time.
-LINKS_PER_TASK, FAN_IN = 250_000, 8
+#: Links that one task unites, and ranges that are merged at a time; a merge takes at most twice as many rows as a range has links.
+LINKS_PER_TASK, FAN_IN = 200_000, 4
 #: Rows of a batch.
 BATCH = 20_000
 
@@ -110,24 +110,25 @@ def _unite_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _merge(table: pa.Table) -> pa.Table:
     """United rows of several ranges, with the ids between a node and the one above it."""
-    rows = table.to_pylist()
-    f, at = Forest(), {r["node"]: r for r in rows}
-    for r in rows:
-        if r["cycle"] is None:
-            f.unite(r["node"], r["up"], r["dist"], r["low"])
+    cols = [table.column(c).to_pylist() for c in _names(_MERGED)]
+    f = Forest()
+    for node, up, dist, low, cycle in zip(*cols[1:6]):
+        if cycle is None:
+            f.unite(node, up, dist, low)
         else:
-            f.rings[r["node"]] = r["cycle"]
+            f.rings[node] = cycle
+    paths = table.column("seg").null_count < table.num_rows
+    at = dict(zip(cols[1], zip(cols[2], cols[6]))) if paths else {}
     out = []
-    for r in rows:
-        up, dist, low, cycle = f.place(r["node"])
-        seg = None
-        if r["seg"] is not None and cycle is None:
-            parts, x = [], r
-            while x:
-                parts.append(x["seg"])
-                x = at.get(x["up"])
+    for part, node, seg in zip(cols[0], cols[1], cols[6]):
+        up, dist, low, cycle = f.place(node)
+        if paths and seg is not None and cycle is None:
+            parts, x = [], node
+            while x in at:
+                x, own = at[x]
+                parts.append(own)
             seg = [i for p in reversed(parts) for i in p]
-        out.append((r["part"], r["node"], up, dist, low, cycle, seg))
+        out.append((part, node, up, dist, low, cycle, None if cycle is not None else seg))
     return pa.Table.from_batches([_arrow(out, _names(_MERGED))])
 
 
@@ -151,7 +152,7 @@ def _merged(carried: DataFrame) -> DataFrame:
         largest = carried.groupBy("part").count().agg(F.max("count").alias("n")).first()["n"]
         if not largest:
             break
-        if largest > LINKS_PER_TASK and levels:
+        if largest > 2 * LINKS_PER_TASK:
             # ranges that hardly share their links would outgrow a task: the rest is resolved by doubling
             levels.append(_double(carried))
             break

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -21,6 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if spark.sparkContext.master.startswith("local["):
             base = tempfile.mkdtemp(prefix="skein-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
         else:
             base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)

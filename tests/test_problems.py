@@ -97,7 +97,7 @@ def _brute(links):
 
 @pytest.mark.parametrize("seed", range(3))
 def test_forest_against_walks(spark, seed, monkeypatch):
-    monkeypatch.setattr(forest, "LINKS_PER_TASK", 40)
+    monkeypatch.setattr(forest, "LINKS_PER_TASK", 120)
     rng = random.Random(seed)
     n = 200
     links = [(f"n{i:03d}", f"n{(rng.randrange(i) if i and rng.random() < 0.8 else max(0, i - 1)) if rng.random() < 0.97 else rng.randrange(n):03d}") for i in range(1, n)]
